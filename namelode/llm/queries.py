@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from namelode.llm import distinctive, formatting, lookalike, tokenize
+from namelode.llm import distinctive, formatting, leakage, lookalike, tokenize, truncated
 from namelode.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,10 +59,39 @@ def p8_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize.decode_corpus(ids, vocabulary_path())
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaked_items(*_tables(spark, sf_dir, "documents", "eval_items"))
+
+
+def p9_removal_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.removal_spans(*_tables(spark, sf_dir, "documents", "eval_items"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncated.truncated_texts(table(spark, sf_dir, "documents")).filter("cut").select("doc_id")
+
+
+def p10_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncated.truncation_by_source(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         f.__name__: f
-        for f in (p2_scores, p2_found, p4_found, p4_collapsed, p5_found, p5_forms, p8_ids, p8_decoded)
+        for f in (
+            p2_scores,
+            p2_found,
+            p4_found,
+            p4_collapsed,
+            p5_found,
+            p5_forms,
+            p8_ids,
+            p8_decoded,
+            p9_found,
+            p9_removal_spans,
+            p10_found,
+            p10_by_source,
+        )
     }
 
 
@@ -93,5 +122,14 @@ select distinct a.record_id as record_id_a, b.record_id as record_id_b
 from w a join w b using (w) where w in (select w from v) and a.record_id < b.record_id""",
         "p4_found": _P4_CONTENT + "select keep_id, id as copy_id from g where id <> keep_id",
         "p4_collapsed": _P4_CONTENT + "select keep_id, copies from g where id = keep_id and copies > 1",
+        "p9_found": r"""
+with w as (select item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') w from eval_items),
+g as (select distinct item_id, array_to_string(w[p:p + 11], ' ') g
+  from (select item_id, w, unnest(range(1, len(w) - 10)) p from w)),
+d as (select doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') w
+  from documents where text is not null),
+h as (select doc_id, array_to_string(w[p:p + 11], ' ') g
+  from (select doc_id, w, unnest(range(1, len(w) - 10)) p from d))
+select distinct doc_id, item_id from h join g using (g)""",
         "p8_decoded": "select doc_id, coalesce(text, '') as text from documents",
     }
