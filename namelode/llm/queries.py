@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from namelode.llm import distinctive, formatting, leakage, lookalike, tokenize, truncated
+from namelode.llm import canonical_list, distinctive, formatting, leakage, lookalike, tokenize, truncated
 from namelode.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,14 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distinctive.shared_rare_words(distinctive.score_words(table(spark, sf_dir, "sanctions_names")))
 
 
+def p3_mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return canonical_list.mapped_countries(*_tables(spark, sf_dir, "sanctions_countries", "sanctions_ref_countries"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p3_mapped(spark, sf_dir).select("country_row_id", "code")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formatting.formatting_copies(*_tables(spark, sf_dir, *_PERSON_TABLES))
 
@@ -81,6 +89,8 @@ def queries() -> dict[str, Query]:
         for f in (
             p2_scores,
             p2_found,
+            p3_found,
+            p3_mapped,
             p4_found,
             p4_collapsed,
             p5_found,
