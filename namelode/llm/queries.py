@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from namelode.llm import canonical_list, distinctive, formatting, leakage, lookalike, tokenize, truncated
+from namelode.llm import canonical_list, distinctive, formatting, identity, leakage, lookalike, name_variants, tokenize, truncated
 from namelode.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,12 @@ def _tables(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
 _PERSON_TABLES = ("sanctions_records", "sanctions_names", "sanctions_dates", "sanctions_countries")
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records, names, dates, countries = _tables(spark, sf_dir, *_PERSON_TABLES)
+    official = records.filter("custom_list_id is null")
+    return name_variants.same_name_records(identity.profiles(official, names, dates, identity.listed_codes(countries)))
+
+
 def p2_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distinctive.score_words(table(spark, sf_dir, "sanctions_names")).select("record_id", "word", "df", "score")
 
@@ -87,6 +93,7 @@ def queries() -> dict[str, Query]:
     return {
         f.__name__: f
         for f in (
+            p1_found,
             p2_scores,
             p2_found,
             p3_found,
