@@ -26,6 +26,8 @@ ABBREVIATIONS = {"log": "logistics", "trdg": "trading", "elec": "electronics", "
                  "inv": "investments", "chem": "chemicals", "shpg": "shipping", "mach": "machinery", "cons": "consulting",
                  "gen": "general", "contr": "contracting", "petrol": "petroleum", "imp": "import", "exp": "export",
                  "intl": "international", "bros": "brothers", "mfg": "manufacturing", "svcs": "services"}
+#: Particles that are also written as one with the word behind them.
+JOINED = ("bin", "al", "el", "ibn", "abu")
 #: Endings that turn the beginning of a given name into a familiar form.
 FAMILIAR = ("chik", "ie", "ko", "i", "o", "y")
 
@@ -38,14 +40,28 @@ def _plain_form(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield done.iloc[codes].reset_index(drop=True)
 
 
+#: Letters that writers of a name take for one another, in order of replacement.
+SOUNDS = (("ph", "f"), ("th", "t"), ("ck", "k"), ("c(?!h)", "k"), ("q", "k"), ("w", "v"), ("y", "i"), ("ou|oo", "u"), (r"(.)\1+", "$1"))
+
+
+def as_heard(word: Column) -> Column:
+    """``word`` with letters that sound alike written one way, and doubled letters once."""
+    for pattern, letter in SOUNDS:
+        word = F.regexp_replace(word, pattern, letter)
+    return word
+
+
 def plain_words(text: Column, drop: list[str]) -> Column:
-    """The words of ``text`` in plain letters, without single letters and those to ``drop``; abbreviations whole."""
+    """The words of ``text`` in plain letters as they sound, without single letters and those to ``drop``.
+
+    Usual abbreviations are written out.
+    """
     ascii_only = text.rlike(PLAIN_ASCII)
     low = F.when(ascii_only, F.lower(text)).otherwise(_plain_form(F.when(~ascii_only, text)))
     words = F.split(F.trim(F.regexp_replace(low, r"[^\p{L}\p{N}]+", " ")), " ")
     kept = F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(drop))
     whole = F.create_map(*(F.lit(x) for pair in ABBREVIATIONS.items() for x in pair))
-    return F.transform(kept, lambda w: F.coalesce(whole[w], w))
+    return F.split(as_heard(F.array_join(F.transform(kept, lambda w: F.coalesce(whole[w], w)), " ")), " ")
 
 
 def _years(text: Column) -> Column:
@@ -82,7 +98,7 @@ def profiles(records: DataFrame, names: DataFrame, dates: DataFrame, codes: Data
         "id",
         (F.coalesce("name_type", F.lit("")) == "Primary Name").alias("primary"),
         plain_words(text, PARTICLES + LEGAL_FORMS).alias("bag"),
-    ).filter(F.size("bag") > 0)
+    ).filter(F.element_at("bag", 1) != "")
     full = F.size(F.filter("bag", lambda w: F.length(w) > 2))
     latin = F.array_join("bag", "").rlike("^[a-z0-9]+$")
     main = F.max_by("bag", F.struct(latin, F.least(full, F.lit(8)), "primary", -F.col("id"))).alias("main")
@@ -121,23 +137,29 @@ _STEM = re.compile(f"(?<=.{{3}})({'|'.join(FAMILIAR)})$")
 
 @lru_cache(1 << 18)
 def word_likeness(a: str, b: str) -> float:
-    """How alike two words are: 1 equal, 0.8 a few letters off, 0.7 a familiar form or abbreviation, else 0."""
+    """How alike two words are: 1 equal, 0.8 a few letters off, 0.7 a familiar form or abbreviation, 0.5
+    if half of a short word is off, else 0."""
     if a == b:
         return 1.0
     short, long = sorted((len(a), len(b)))
     most = 0 if short < 4 else 1 if short < 6 else 2
     if most and banded_distance(a, b, most) <= most:
         return 0.8
+    for particle in JOINED:
+        if a == particle + b or b == particle + a:
+            return 0.8
     sa, sb = _STEM.sub("", a), _STEM.sub("", b)
     if short > 2 and long - short <= 5 and (a.startswith(b) or b.startswith(a)):
         return 0.7
     if sa == sb or (sa != a or len(a) <= 4) and b.startswith(sa) or (sb != b or len(b) <= 4) and a.startswith(sb):
         return 0.7
+    if 3 < short < 6 and a[0] == b[0] and banded_distance(a, b, 2) <= 2:
+        return 0.5
     return 0.0
 
 
-def _near_year(a: int, b: int) -> bool:
-    return abs(a - b) <= 1 or sorted(str(a)) == sorted(str(b))
+def _swapped_year(a: int, b: int) -> bool:
+    return sorted(str(a)) == sorted(str(b))
 
 
 def agreement(a: dict, b: dict) -> float | None:
@@ -165,10 +187,13 @@ def agreement(a: dict, b: dict) -> float | None:
     if hits < 2:
         return None
     alike = (sum(of_a) + sum(of_b)) / (len(of_a) + len(of_b) - left_a - left_b)
+    weak = 0.5 in of_a or 0.5 in of_b
     years = bool(a["years"] and b["years"])
-    year = any(_near_year(x, y) for x in a["years"] for y in b["years"])
     lands = bool(a["codes"] and b["codes"])
     land = bool(set(a["codes"]) & set(b["codes"]))
+    year = any(abs(x - y) <= 1 for x in a["years"] for y in b["years"])
+    if not year and (hits > 2 or land or not lands):  # digits of a year in another order
+        year = any(_swapped_year(x, y) for x in a["years"] for y in b["years"])
     if a["gender"] and b["gender"] and a["gender"] != b["gender"] and not year:
         return None
     against = (years and not year) + (lands and not land)
@@ -176,6 +201,8 @@ def agreement(a: dict, b: dict) -> float | None:
         return None
     if hits == 2 and not (year or land) and alike < 0.9:
         return None
+    if weak and (a["entity"] or not (year or land) or hits == 2 and not (year and land)):
+        return None
     score = 0.35 * alike + 0.15 * min(1.0, hits / 3) + 0.25 * (1.0 if year else 0.0 if years else 0.5)
     score += 0.15 * (1.0 if land else 0.0 if lands else 0.5) + 0.10 * (0.0 if left_a or left_b else 1.0)
     return round(score, 4)

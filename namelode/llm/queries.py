@@ -6,8 +6,9 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from namelode.llm import canonical_list, distinctive, formatting, identity, leakage, lookalike, name_variants, tokenize, truncated
+from namelode.llm import canonical_list, distinctive, entity_match, formatting, identity, leakage, lookalike, name_variants, tokenize, truncated
 from namelode.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,6 +65,18 @@ def p5_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.name_forms(table(spark, sf_dir, "sanctions_names")).select("name_id", "field_name", "form")
 
 
+def p6_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records, names, dates, countries = _tables(spark, sf_dir, *_PERSON_TABLES)
+    codes = entity_match.mapped_codes(countries, table(spark, sf_dir, "sanctions_ref_countries"))
+    return entity_match.matched_records(identity.profiles(records, names, dates, codes))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = p6_matches(spark, sf_dir)
+    a, b = F.col("record_id_a"), F.col("record_id_b")
+    return pairs.select(F.least(a, b).alias("record_id_a"), F.greatest(a, b).alias("record_id_b"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize.encode_corpus(table(spark, sf_dir, "documents"), vocabulary_path())
 
@@ -102,6 +115,8 @@ def queries() -> dict[str, Query]:
             p4_collapsed,
             p5_found,
             p5_forms,
+            p6_matches,
+            p6_found,
             p8_ids,
             p8_decoded,
             p9_found,
