@@ -5,34 +5,578 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from namelode.operators import snapshots
+from namelode.functions import countries as ct
+from namelode.functions import dates as dt
+from namelode.functions import names as nm
+from namelode.functions import scoring as sc
+from namelode.operators import cdc, custom_lists, factors, history, records, retrieval, snapshots, weights
+from namelode.plans import screen as plan
 from namelode.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
 
 
-def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return snapshots.snapshot_changes(table(spark, sf_dir, "record_snapshots"))
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query under its name, with the SQL that gives the same rows."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
 
 
 def queries() -> dict[str, Query]:
-    return {"p7_found": p7_found}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
-        "p7_found": r"""
+    return dict(SQL)
+
+
+def _t(spark: SparkSession, d: str, *names: str) -> list[DataFrame]:
+    return [table(spark, d, n) for n in names]
+
+
+# --- snapshots -------------------------------------------------------------------------------------------------------
+
+_LATEST = r"""
 with c as (select snapshot_no, record_id, received_at, nullif(lower(trim(active_status)), '') s,
     nullif(lower(trim(action)), '') a, lower(trim(action_date)) d from record_snapshots),
 n as (select *, case when d = '' then null
     when regexp_matches(d, '^\d{2}-[a-z]{3}-\d{4}$') then strftime(strptime(d, '%d-%b-%Y'), '%Y-%m-%d')
     else replace(d, '/', '-') end dd from c),
 l as (select * from n qualify row_number() over (partition by snapshot_no, record_id order by received_at desc) = 1)
+"""
+
+
+@query(
+    _LATEST
+    + """
 select coalesce(x.record_id, y.record_id) as record_id, cast(coalesce(x.snapshot_no, y.snapshot_no + 1) as int) as snapshot_no,
   case when y.record_id is null then 'added' when x.record_id is null then 'removed' else 'changed' end as change
 from l x full join l y on x.record_id = y.record_id and x.snapshot_no = y.snapshot_no + 1
 where coalesce(x.snapshot_no, y.snapshot_no + 1) between (select min(snapshot_no) + 1 from l) and (select max(snapshot_no) from l)
   and (x.record_id is null or y.record_id is null or x.s is distinct from y.s or x.a is distinct from y.a
-    or x.dd is distinct from y.dd)""",
-    }
+    or x.dd is distinct from y.dd)"""
+)
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return snapshots.snapshot_changes(table(spark, d, "record_snapshots"))
+
+
+# --- reading records -------------------------------------------------------------------------------------------------
+
+_FOUND = """
+from sanctions_records r where lower(r.record_type) = 'person' and lower(r.active_status) = 'active'
+  and exists (select 1 from sanctions_names n where n.record_id = r.id and n.name_type = 'Primary Name'
+    and starts_with(lower(n.surname), 'k'))"""
+
+
+def _found(spark: SparkSession, d: str) -> DataFrame:
+    return records.filtered_records(*_t(spark, d, "sanctions_records", "sanctions_names"), "Person", "Active", "", "K")
+
+
+_DISPLAY = """coalesce(nullif(entity_name, ''), nullif(single_string_name, ''),
+    concat_ws(' ', nullif(first_name, ''), nullif(middle_name, ''), nullif(surname, '')))"""
+_FIRST_PRIMARY = f"""first as (select record_id, {_DISPLAY} as display_name from sanctions_names where name_type = 'Primary Name'
+  qualify row_number() over (partition by record_id order by id) = 1)"""
+
+
+@query(
+    f"""with {_FIRST_PRIMARY},
+page as (select r.* {_FOUND} order by r.id limit 25 offset 25)
+select p.id, case when lower(p.record_type) = 'entity' then 'Entity' when p.record_type is not null then 'Person' end as record_type,
+  p.active_status, case when p.custom_list_id is null then 'sanctions_list' when nullif(c.name, '') is not null
+    then 'custom_list:' || c.name else 'custom_list' end as source, f.display_name
+from page p left join custom_lists c on c.id = p.custom_list_id left join first f on f.record_id = p.id"""
+)
+def list_records_page(spark: SparkSession, d: str) -> DataFrame:
+    lists, names = _t(spark, d, "custom_lists", "sanctions_names")
+    page = records.record_page(_found(spark, d), lists, names, page=2, per_page=25)
+    return page.select("id", "record_type", "active_status", "source", "display_name")
+
+
+@query(f"select count(*) as total {_FOUND}")
+def list_records_total(spark: SparkSession, d: str) -> DataFrame:
+    return _found(spark, d).agg(F.count("*").alias("total"))
+
+
+@query(f"with {_FIRST_PRIMARY} select record_id, display_name from first")
+def first_primary_names(spark: SparkSession, d: str) -> DataFrame:
+    return records.first_primary_names(table(spark, d, "sanctions_names"))
+
+
+def _child_sql(tab: str, kind: str, limit: str = "") -> str:
+    keys = ", ".join(f"coalesce(cast({k} as varchar), '')" for k in records.CHILD_KEYS[kind])
+    return f"""with k as (select record_id, id from {tab}
+  qualify row_number() over (partition by record_id, {keys} order by id) = 1),
+p as (select record_id, id, cast(row_number() over (partition by record_id order by id) as int) as position from k)
+select record_id, id, position from p {limit}"""
+
+
+@query(_child_sql("sanctions_names", "names", "where position <= 10"))
+def names_without_repeats(spark: SparkSession, d: str) -> DataFrame:
+    return records.child_rows(table(spark, d, "sanctions_names"), "names", 10).select("record_id", "id", "position")
+
+
+@query(_child_sql("sanctions_dates", "dates"))
+def dates_without_repeats(spark: SparkSession, d: str) -> DataFrame:
+    return records.child_rows(table(spark, d, "sanctions_dates"), "dates").select("record_id", "id", "position")
+
+
+@query(_child_sql("sanctions_countries", "countries"))
+def countries_without_repeats(spark: SparkSession, d: str) -> DataFrame:
+    return records.child_rows(table(spark, d, "sanctions_countries"), "countries").select("record_id", "id", "position")
+
+
+@query(
+    """with nk as (select record_id, id from sanctions_names qualify row_number() over (partition by record_id, """
+    + ", ".join(f"coalesce({k}, '')" for k in records.CHILD_KEYS["names"])
+    + """ order by id) = 1),
+n as (select record_id, least(count(*), 10) as k from nk group by 1),
+dk as (select distinct record_id, """
+    + ", ".join(f"coalesce({k}, '') as {k}" for k in records.CHILD_KEYS["dates"])
+    + """ from sanctions_dates),
+dd as (select record_id, count(*) as k from dk group by 1),
+ck as (select distinct record_id, coalesce(country_type, '') a, coalesce(country_code, '') b from sanctions_countries),
+c as (select record_id, count(*) as k from ck group by 1)
+select r.id, cast(coalesce(n.k, 0) as int) as names, cast(coalesce(dd.k, 0) as int) as dates, cast(coalesce(c.k, 0) as int) as countries
+from sanctions_records r left join n on n.record_id = r.id left join dd on dd.record_id = r.id left join c on c.record_id = r.id"""
+)
+def hydrated_sizes(spark: SparkSession, d: str) -> DataFrame:
+    tabs = _t(spark, d, "sanctions_records", "custom_lists", "sanctions_names", "sanctions_dates", "sanctions_countries", "sanctions_ref_countries")
+    docs = records.hydrated(tabs[0].select("id"), *tabs)
+    return docs.select("id", *(F.size(k).alias(k) for k in ("names", "dates", "countries")))
+
+
+@query()
+def hydrated_records(spark: SparkSession, d: str) -> DataFrame:
+    tabs = _t(spark, d, "sanctions_records", "custom_lists", "sanctions_names", "sanctions_dates", "sanctions_countries", "sanctions_ref_countries")
+    return records.hydrated(tabs[0].filter("active_status = 'Active'").select("id"), *tabs)
+
+
+@query("""select c.id, c.name, count(r.id) as record_count from custom_lists c left join sanctions_records r on r.custom_list_id = c.id group by all""")
+def custom_list_counts(spark: SparkSession, d: str) -> DataFrame:
+    return custom_lists.list_counts(*_t(spark, d, "custom_lists", "sanctions_records")).select("id", "name", "record_count")
+
+
+@query(
+    """with gone as (select id from sanctions_records where custom_list_id = 7)
+select 'records' as kind, count(*) as kept from sanctions_records where id not in (from gone)
+union all select 'names', count(*) from sanctions_names where record_id not in (from gone)
+union all select 'dates', count(*) from sanctions_dates where record_id not in (from gone)
+union all select 'countries', count(*) from sanctions_countries where record_id not in (from gone)"""
+)
+def custom_list_deleted(spark: SparkSession, d: str) -> DataFrame:
+    base = table(spark, d, "sanctions_records")
+    children = {k: table(spark, d, f"sanctions_{k}") for k in ("names", "dates", "countries")}
+    kept, rest = custom_lists.without_list(base, children, 7)
+    out = None
+    for kind, rows in {"records": kept, **rest}.items():
+        one = rows.agg(F.count("*").alias("kept")).select(F.lit(kind).alias("kind"), "kept")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+# --- loads and their changes -----------------------------------------------------------------------------------------
+
+_SNAPSHOT = """s as (select * from record_snapshots where custom_list_id is null
+  qualify row_number() over (partition by snapshot_no, record_id order by received_at desc, record_type, active_status, action) = 1),
+e as (select record_id, coalesce(record_type, '') record_type, coalesce(active_status, '') st from s where snapshot_no = 1),
+i as (select record_id, record_type, active_status, coalesce(active_status, '') st, action from s where snapshot_no = 2)"""
+_EVENTS = f"""{_SNAPSHOT},
+x as (select coalesce(e.record_id, i.record_id) record_id, e.record_id is null as is_new, i.record_id is null as is_gone,
+  lower(trim(coalesce(e.st, ''))) = 'active' as ea, lower(trim(coalesce(i.st, ''))) = 'active' as ia,
+  case when i.record_id is null then e.record_type else i.record_type end as record_type
+  from e full join i on e.record_id = i.record_id),
+ev as (select record_id, record_type, unnest(list_filter([case when is_new then 'added' end, case when is_new and not ia then 'added_inactive' end,
+  case when is_gone then 'removed_from_feed' end, case when (is_gone or (not is_new and not ia)) and ea then 'inactivated' end,
+  case when not is_new and not is_gone and ia and not ea then 'reactivated' end], lambda v: v is not null)) change_type from x)"""
+
+
+def _feed(spark: SparkSession, d: str, number: int) -> DataFrame:
+    """The official rows of one snapshot as a feed: of repeated ones the one received last."""
+    rows = table(spark, d, "record_snapshots").filter((F.col("snapshot_no") == number) & F.col("custom_list_id").isNull())
+    fields = ("record_type", "action", "action_date", "gender", "active_status", "deceased")
+    last = rows.groupBy(F.col("record_id").alias("id")).agg(F.max_by(F.struct(*fields), "received_at").alias("r"))
+    return last.select("id", "r.*").withColumn("profile_notes", F.lit(None).cast("string"))
+
+
+def _matched(spark: SparkSession, d: str) -> DataFrame:
+    stored = _feed(spark, d, 1).withColumn("custom_list_id", F.lit(None).cast("bigint"))
+    return cdc.matched(cdc.official_records(stored), _feed(spark, d, 2))
+
+
+@query(f"with {_EVENTS} select record_id, record_type, change_type from ev")
+def cdc_events(spark: SparkSession, d: str) -> DataFrame:
+    return cdc.change_events(_matched(spark, d), True)
+
+
+@query(
+    f"""with {_EVENTS} select change_type, 'sanctions_record' as entity, nullif(record_type, '') as record_type, count(*) as count
+from ev group by all"""
+)
+def cdc_counts(spark: SparkSession, d: str) -> DataFrame:
+    return cdc.change_counts(cdc.change_events(_matched(spark, d), True))
+
+
+@query(
+    f"""with {_SNAPSHOT} select i.record_id as id from e join i on e.record_id = i.record_id
+where e.st <> i.st or (lower(trim(e.st)) = 'active' and coalesce(i.action, '') = 'del')"""
+)
+def cdc_updates(spark: SparkSession, d: str) -> DataFrame:
+    return _matched(spark, d).filter(cdc.needs_update()).select("id")
+
+
+@query(
+    f"""with {_SNAPSHOT} select coalesce(e.record_id, i.record_id) as id,
+  case when i.record_id is null then 'Inactive' when e.record_id is null or e.st <> i.st
+      or (lower(trim(e.st)) = 'active' and coalesce(i.action, '') = 'del') then i.active_status
+    else (select s.active_status from s where s.snapshot_no = 1 and s.record_id = e.record_id) end as active_status
+from e full join i on e.record_id = i.record_id"""
+)
+def cdc_applied(spark: SparkSession, d: str) -> DataFrame:
+    stored = _feed(spark, d, 1).withColumn("custom_list_id", F.lit(None).cast("bigint"))
+    return cdc.applied(stored, _feed(spark, d, 2), True, F.lit("2025-03-10")).select("id", "active_status")
+
+
+@query(
+    f"""with {_SNAPSHOT}, n as (select (select count(*) from e) existing, (select count(*) from i) incoming)
+select existing > 0 and (existing <= 10000 or incoming >= existing * 9 // 10) as complete from n"""
+)
+def complete_feed_guard(spark: SparkSession, d: str) -> DataFrame:
+    existing, incoming = (_feed(spark, d, n).agg(F.count("*").alias("n")).first()["n"] for n in (1, 2))
+    return spark.createDataFrame([(cdc.is_complete_feed("full", 0, incoming, existing),)], "complete boolean")
+
+
+@query(
+    f"""with {_EVENTS}, own as (select distinct record_id from ev),
+nm as (select record_id, trim({_DISPLAY}) shown, id, case name_type when 'Primary Name' then 1 when 'Also Known As' then 2
+    when 'Spelling Variation' then 3 else 0 end k from sanctions_names where record_id in (from own)),
+n1 as (select record_id, shown from nm where shown <> '' qualify row_number() over (partition by record_id order by k, id) = 1),
+d1 as (select record_id, concat_ws('-', nullif(year, ''), nullif(month, ''), nullif(day, '')) dob from sanctions_dates
+  where lower(date_type) like '%birth%' and concat_ws('-', nullif(year, ''), nullif(month, ''), nullif(day, '')) <> ''
+  qualify row_number() over (partition by record_id order by id) = 1),
+c1 as (select c.record_id, string_agg(coalesce(f.name, c.country_code, ''), '|' order by c.id) lands
+  from sanctions_countries c left join sanctions_ref_countries f on f.code = c.country_code group by 1)
+select ev.record_id, ev.change_type, n1.shown as display_name, d1.dob as date_of_birth, c1.lands as countries
+from ev left join n1 using (record_id) left join d1 using (record_id) left join c1 using (record_id)"""
+)
+def cdc_event_details(spark: SparkSession, d: str) -> DataFrame:
+    tabs = _t(spark, d, "sanctions_names", "sanctions_dates", "sanctions_countries", "sanctions_ref_countries")
+    rows = cdc.event_details(cdc.change_events(_matched(spark, d), True), *tabs)
+    listed = F.from_json("countries_json", "array<struct<type:string,code:string,name:string>>")
+    named = F.array_join(F.transform(listed, lambda c: c["name"]), "|")
+    return rows.select("record_id", "change_type", "display_name", "date_of_birth", named.alias("countries"))
+
+
+@query(
+    """with s as (select snapshot_no, code, name from (select 1 snapshot_no, code, name from sanctions_ref_countries
+  union all select 2, code, upper(name) from sanctions_ref_countries where is_territory) )
+select code, arg_max(name, snapshot_no) as name from s group by 1"""
+)
+def upserted_reference(spark: SparkSession, d: str) -> DataFrame:
+    ref = table(spark, d, "sanctions_ref_countries")
+    new = ref.filter("is_territory").select("code", F.upper("name").alias("name"))
+    return cdc.upserted(ref, new, "code", ["name"])
+
+
+@query(
+    """with r as (select cast(ts as date) as day, min(ts) as started_at from events group by 1),
+p as (select * from r order by started_at desc limit 10 offset 10)
+select day, case when epoch_us(started_at) - epoch_us(lead(started_at) over (order by started_at desc)) > 0
+  then round((epoch_us(started_at) / 1e6 - epoch_us(lead(started_at) over (order by started_at desc)) / 1e6) / 3600, 2) end as interval_hours from p"""
+)
+def run_history_page(spark: SparkSession, d: str) -> DataFrame:
+    runs = table(spark, d, "events").groupBy(F.to_date("ts").alias("id")).agg(F.min("ts").alias("started_at"))
+    return history.run_page(runs, 2, 10).select(F.col("id").alias("day"), "interval_hours")
+
+
+@query(
+    """with c as (select cast(ts as date) as run_id, event_type, count(*) n from events where event_type <> 'error' group by 1, 2)
+select run_id, cast(sum(n) as bigint) as total_records_affected from c group by 1"""
+)
+def run_records_affected(spark: SparkSession, d: str) -> DataFrame:
+    kind = F.when(F.col("event_type") == "error", "added_inactive").otherwise(F.col("event_type"))
+    changes = table(spark, d, "events").groupBy(F.to_date("ts").alias("run_id"), kind.alias("change_type")).agg(F.count("*").alias("count"))
+    rows = changes.withColumn("entity", F.lit("sanctions_record")).withColumn("record_type", F.lit(None).cast("string"))
+    return history.affected(rows)
+
+
+@query(
+    """with e as (select cast(ts as date) as run_id, event_id from events)
+select run_id, event_id from e qualify row_number() over (partition by run_id order by event_id) <= 100"""
+)
+def run_record_changes(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "events").select(F.to_date("ts").alias("run_id"), F.col("event_id").alias("id"))
+    return history.record_changes(rows, 0).select("run_id", F.col("id").alias("event_id"))
+
+
+# --- functions on names ----------------------------------------------------------------------------------------------
+
+_FOLD = "translate(lower(translate({0}, 'Σİ', 'σi')), 'آأإٱىئةؤ', 'ااااييهو')"
+_NORMAL = (
+    "trim(regexp_replace(regexp_replace(regexp_replace(" + _FOLD + r", '[ً-ٰٕـء]', '', 'g'), '[^\p{{L}}\p{{Nd}}\s\p{{Z}}]', '', 'g'), '[\s\p{{Z}}]+', ' ', 'g'))"
+)
+_PLAIN_TEXTS = """(select id, trim({0}) as name from sanctions_names where {0} is not null and regexp_matches({0}, '^[\\x20-\\x7E]*$')
+  and not regexp_matches(lower({0}), '\\b(abd|abdul|abdel|abdal)\\b'))"""
+
+
+@query("select id, " + _NORMAL.format("surname") + " as normalized from sanctions_names where surname is not null and not regexp_matches(lower(surname), '\\b(abd|abdul|abdel|abdal)\\b')")
+def normalized_surnames(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "sanctions_names").filter("surname is not null").filter(~F.lower("surname").rlike(r"\b(abd|abdul|abdel|abdal)\b"))
+    return rows.select("id", nm.normalize(F.col("surname")).alias("normalized"))
+
+
+@query()
+def transliterated_names(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "sanctions_names").filter(nm.is_arabic(F.col("original_script_name")))
+    return rows.select("id", nm.transliterate(F.col("original_script_name")).alias("latin"))
+
+
+_SURNAME_TOKENS = r"""(select distinct lower(unnest(regexp_extract_all(surname, '[A-Za-z]+'))) t from sanctions_names where surname is not null)"""
+
+
+def _surname_tokens(spark: SparkSession, d: str) -> DataFrame:
+    words = F.explode(F.regexp_extract_all("surname", F.lit("[A-Za-z]+"), 0))
+    return table(spark, d, "sanctions_names").select(F.lower(words).alias("t")).distinct()
+
+
+@query(
+    f"""with t as {_SURNAME_TOKENS},
+b as (select t, case when length(t) >= 5 and t[1:2] in ('al', 'el') then t[3:] else t end bare from t),
+s as (select t, bare, list_filter(string_split(bare, ''), lambda c: c not in ('a', 'e', 'i', 'o', 'u', 'y')) v from b)
+select t, bare, array_to_string(list_filter(v, lambda c, i: i = 1 or c <> v[i - 1]), '') as bones from s"""
+)
+def token_forms(spark: SparkSession, d: str) -> DataFrame:
+    bare = nm.strip_article(F.col("t"))
+    return _surname_tokens(spark, d).select("t", bare.alias("bare"), nm.skeleton(bare).alias("bones"))
+
+
+@query(
+    f"""with t as {_SURNAME_TOKENS},
+b as (select t, case when length(t) >= 5 and t[1:2] in ('al', 'el') then t[3:] else t end bare from t),
+s as (select *, list_filter(string_split(bare, ''), lambda c: c not in ('a', 'e', 'i', 'o', 'u', 'y')) v from b),
+w as (select t, bare, array_to_string(list_filter(v, lambda c, i: i = 1 or c <> v[i - 1]), '') bones from s),
+p as (select x.t a, y.t b, x.bare ba, y.bare bb, x.bones sa, y.bones sb, greatest(length(x.bare), length(y.bare)) l, levenshtein(x.bare, y.bare) dist
+  from w x join w y on x.t[1:4] = y.t[1:4] and x.t < y.t),
+q as (select *, (l - dist) * 100 // l s, case when l <= 2 then 0 when l <= 7 then 1 when l <= 11 then 2 else 3 end budget from p)
+select a, b, cast(case when ba = bb then 100 when dist <= budget and s >= 85 then s
+  when length(sa) >= 3 and sa = sb then greatest(s, 85) when dist > budget or s < 65 then 0 else s end as bigint) as similarity from q"""
+)
+def token_similarities(spark: SparkSession, d: str) -> DataFrame:
+    one = _surname_tokens(spark, d).withColumn("p", F.substring("t", 1, 4)).withColumn("x", sc.prepared(F.array("t"))[0])
+    two = one.select("p", F.col("t").alias("b"), F.col("x").alias("y"))
+    pairs = one.withColumnRenamed("t", "a").join(two, "p").filter("a < b")
+    return pairs.select("a", "b", sc.prepared_similarity(F.col("x"), F.col("y")).alias("similarity"))
+
+
+def _active_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return weights.record_tokens(*_t(spark, d, "sanctions_records", "sanctions_names"))
+
+
+@query()
+def token_weights(spark: SparkSession, d: str) -> DataFrame:
+    return weights.weights(_active_tokens(spark, d))
+
+
+@query(
+    r"""with w as (select distinct doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) token from documents where lang = 'en'),
+n as (select count(distinct doc_id) n from w), f as (select token, count(*) df from w group by 1)
+select token, df, cast(case when df * 10000 >= n * 500 then 20 when df * 10000 >= n * 200 then 35 when df * 10000 >= n * 50 then 55
+  when df * 10000 >= n * 10 then 80 else 100 end as bigint) as weight from f, n"""
+)
+def document_token_weights(spark: SparkSession, d: str) -> DataFrame:
+    words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), 0))
+    rows = table(spark, d, "documents").filter("lang = 'en'").select(F.col("doc_id").alias("record_id"), words.alias("token"))
+    return weights.weights(rows.distinct())
+
+
+@query(
+    r"""with t as (select id, list_filter(regexp_split_to_array(regexp_replace(single_string_name, '[+\-><()~*"\\@.,;:!?'']', '', 'g'), '[\s\p{Z}]+'),
+  lambda w: length(w) >= 2) tokens from sanctions_names where single_string_name is not null)
+select id, array_to_string(tokens, '|') as tokens from t"""
+)
+def search_tokens(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "sanctions_names").filter("single_string_name is not null")
+    return rows.select("id", F.array_join(retrieval.search_tokens(F.col("single_string_name")), "|").alias("tokens"))
+
+
+@query()
+def boolean_queries(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "sanctions_names").filter("single_string_name is not null")
+    groups = retrieval.term_groups(retrieval.search_tokens(F.col("single_string_name")))
+    return rows.select("id", retrieval.boolean_query(groups).alias("query"))
+
+
+@query(
+    """with v as (select id name_id, record_id, unnest([entity_name, concat_ws(' ', nullif(first_name, ''), nullif(middle_name, ''), nullif(surname, '')),
+    single_string_name]) t, unnest(range(0, 3)) o from sanctions_names where original_script_name is null or original_script_name = ''),
+c as (select name_id, record_id, regexp_replace(coalesce(t, ''), '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g') n, o from v),
+k as (select * from c where n <> '' qualify row_number() over (partition by name_id, lower(n) order by o) = 1)
+select name_id, record_id, cast(row_number() over (partition by name_id order by o) - 1 as int) as ord, n as name from k"""
+)
+def name_forms(spark: SparkSession, d: str) -> DataFrame:
+    names = table(spark, d, "sanctions_names").filter("coalesce(original_script_name, '') = ''")
+    return retrieval.variants(names)
+
+
+#: Searched names, in several writings of the invented names that the tables hold.
+SEARCHES = ((1, "Giantak Pistemen"), (2, "Khaskuriam Moulme Giadu"), (3, "al-Hirkairak, Zumbuk"), (4, "Dialmak Khoufountos Dimbeish"),
+            (5, "Raiskair Sheravino"), (6, "  "), (7, "Bin Tokoustiad"))
+
+
+def _searches(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(SEARCHES), "query_id int, name string")
+
+
+@query(
+    """with q(query_id, tokens) as (values (1, ['giantak', 'pistemen']), (2, ['khaskuriam', 'moulme', 'giadu']), (3, ['alhirkairak', 'zumbuk']),
+  (4, ['dialmak', 'khoufountos', 'dimbeish']), (5, ['raiskair', 'sheravino']), (7, ['bin', 'tokoustiad'])),
+n as (select id name_id, record_id, [lower(first_name), lower(middle_name), lower(surname), lower(single_string_name), lower(original_script_name), lower(entity_name)] x
+  from sanctions_names),
+m as (select query_id, name_id, record_id from n, q where len(list_filter(tokens, lambda t: len(list_filter(x, lambda c: c like '%' || t || '%')) > 0))
+  >= case when len(tokens) <= 2 then len(tokens) else (len(tokens) + 1) // 2 end)
+select query_id, name_id, record_id from m qualify row_number() over (partition by query_id order by record_id, name_id) <= 300"""
+)
+def like_matches(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.like_rows(_searches(spark), table(spark, d, "sanctions_names"))
+
+
+@query(
+    """with q(query_id, required) as (values (1, [['pistemen']]), (2, [['khaskuriam'], ['moulme']]), (3, [['alhirkairak', 'hirkairak']]),
+  (4, [['khoufountos'], ['dimbeish']]), (5, [['sheravino']]), (7, [['tokoustiad']])),
+n as (select n.id name_id, record_id, list_filter(regexp_split_to_array(lower(concat_ws(' ', first_name, middle_name, surname, single_string_name,
+    original_script_name, entity_name)), '[^\\p{L}\\p{M}\\p{N}]+'), lambda t: t <> '') terms
+  from sanctions_names n join sanctions_records r on r.id = n.record_id where r.active_status = 'Active'),
+m as (select query_id, name_id, record_id from n, q where len(list_filter(required, lambda g: len(list_filter(terms,
+  lambda t: starts_with(t, g[1]) or starts_with(t, coalesce(g[2], g[1])))) > 0)) = len(required))
+select * from m"""
+)
+def precise_matches(spark: SparkSession, d: str) -> DataFrame:
+    recs, names = _t(spark, d, "sanctions_records", "sanctions_names")
+    rows = retrieval.matching_rows(_searches(spark), retrieval.searchable(names, recs), limit=1_000_000)
+    return rows.select("query_id", "name_id", "record_id")
+
+
+# --- secondary identifiers -------------------------------------------------------------------------------------------
+
+_MONTHS = "['jan', 'feb', 'mar', 'apr', 'may', 'jun', 'jul', 'aug', 'sep', 'oct', 'nov', 'dec']"
+_DATES = rf"""d as (select id, record_id, cast(trim(year) as int) y,
+  coalesce(nullif(list_position({_MONTHS}, lower(trim(coalesce(month, '')))), 0), try_cast(trim(month) as int), 0) m,
+  coalesce(try_cast(trim(day) as int), 0) d from sanctions_dates
+  where date_type = 'Date of Birth' and regexp_matches(trim(coalesce(year, '')), '^[1-9]\d\d\d$')),
+p as (select id, record_id, y, case when m between 1 and 12 then m else 0 end m, case when d between 1 and 31 then d else 0 end d from d)"""
+
+
+@query(
+    f"""with {_DATES} select id, case when m = 0 then format('{{:04d}}', y) when d = 0 then format('{{:04d}}-{{:02d}}', y, m)
+  else format('{{:04d}}-{{:02d}}-{{:02d}}', y, m, d) end as date from p"""
+)
+def partial_dates(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "sanctions_dates").filter("date_type = 'Date of Birth'")
+    date = dt.partial_date(F.col("day"), F.col("month"), F.col("year"))
+    return rows.select("id", date.alias("p")).filter("p is not null").select("id", dt.format_partial_date(F.col("p")).alias("date"))
+
+
+@query(
+    f"""with {_DATES}, c as (select *, case when y = 1972 and m > 0 and (m <> 6 or (d > 0 and d <> 10)) then -10 when y = 1972 and m > 0 and d > 0 then 10
+  when y = 1972 and m > 0 then 8 when y = 1972 then 6 when abs(y - 1972) = 1 then 3 when abs(y - 1972) <= 3 then -10 else -25 end adj from p),
+b as (select * from c qualify row_number() over (partition by record_id order by adj desc, id) = 1)
+select record_id, cast(adj as int) as adjustment, case when adj = 10 then 'confirmed_exact' when adj = 8 then 'confirmed_month'
+  when adj = 6 then 'confirmed_year' when adj = 3 then 'near' else 'contradicted' end as status from b"""
+)
+def dob_comparisons(spark: SparkSession, d: str) -> DataFrame:
+    born = factors.birth_dates(table(spark, d, "sanctions_dates"))
+    asked = F.struct(F.lit(1972).alias("y"), F.lit(6).alias("m"), F.lit(10).alias("d"))
+    best = dt.compare_dob(asked, F.col("dob_dates"))
+    return born.select("record_id", best["adjustment"].alias("adjustment"), best["status"].alias("status"))
+
+
+@query(
+    """with k as (select upper(trim(code)) code, regexp_replace(lower(code), '[^a-z0-9]', '', 'g') key, 1 r from sanctions_ref_countries
+  union all select upper(trim(code)), regexp_replace(lower(name), '[^a-z0-9]', '', 'g'), 0 from sanctions_ref_countries)
+select key, code from k where key <> '' qualify row_number() over (partition by key order by r, code) = 1"""
+)
+def country_keys(spark: SparkSession, d: str) -> DataFrame:
+    return ct.country_index(table(spark, d, "sanctions_ref_countries"))
+
+
+@query(
+    """with k as (select upper(trim(code)) code, regexp_replace(lower(code), '[^a-z0-9]', '', 'g') key, 1 r from sanctions_ref_countries
+  union all select upper(trim(code)), regexp_replace(lower(name), '[^a-z0-9]', '', 'g'), 0 from sanctions_ref_countries),
+i as (select key, code from k where key <> '' qualify row_number() over (partition by key order by r, code) = 1)
+select c.id, coalesce(i.code, '') as resolved_code from sanctions_countries c
+left join i on i.key = regexp_replace(lower(c.country_code), '[^a-z0-9]', '', 'g')"""
+)
+def resolved_countries(spark: SparkSession, d: str) -> DataFrame:
+    rows, ref = _t(spark, d, "sanctions_countries", "sanctions_ref_countries")
+    return ct.resolve_countries(rows, ct.country_index(ref), "country_code").select("id", "resolved_code")
+
+
+@query(
+    """with f as (select record_id, country_code, min(id) id from sanctions_countries
+  where country_type in ('Citizenship', 'Nationality') and coalesce(country_code, '') <> '' group by 1, 2),
+c as (select record_id, list(country_code order by id) codes from f group by 1)
+select record_id, cast(case when list_has_any(codes, ['NOVINE', 'SHUFUL']) then 6 else -12 end as int) as adjustment,
+  case when list_has_any(codes, ['NOVINE', 'SHUFUL']) then 'confirmed' else 'contradicted' end as status,
+  case when list_contains(codes, 'NOVINE') then 'NOVINE' when list_contains(codes, 'SHUFUL') then 'SHUFUL' else array_to_string(codes, ',') end as matched from c"""
+)
+def citizenship_comparisons(spark: SparkSession, d: str) -> DataFrame:
+    held = factors.citizenships(table(spark, d, "sanctions_countries"))
+    out = ct.compare_citizenship(F.array(F.lit("NOVINE"), F.lit("SHUFUL")), F.col("citizenships"))
+    return held.select("record_id", *(out[c].alias(c) for c in ("adjustment", "status", "matched")))
+
+
+@query(
+    """with e as (select event_id, cast(floor(value) as bigint) % 101 s, cast((event_id % 29) as bigint) - 20 a from events where value is not null)
+select event_id, cast(case when a < 0 and s >= 90 and greatest(0, least(100, s + a)) < 75 then 75 else greatest(0, least(100, s + a)) end as bigint) as score from e"""
+)
+def adjusted_scores(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "events").filter("value is not null").selectExpr("event_id", "cast(floor(value) as bigint) % 101 s", "event_id % 29 - 20 a")
+    return rows.select("event_id", sc.adjusted_score(F.col("s"), F.col("a"), 75).alias("score"))
+
+
+@query(
+    """with e as (select cast(case when event_type in ('purchase', 'click') then 1 else 0 end as int) y, cast(floor(value) as bigint) % 101 s
+  from events where value is not null), t(th) as (values (70), (75), (80), (85)),
+c as (select th, count(*) filter (s >= th and y = 1) tp, count(*) filter (s >= th) f, count(*) filter (y = 1) p from e, t group by 1)
+select th as threshold, cast(case when f = 0 then 0 else tp * 100 // f end as bigint) as precision,
+  cast(case when p = 0 then 0 else tp * 100 // p end as bigint) as recall from c"""
+)
+def precision_recall(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "events").filter("value is not null").selectExpr(
+        "cast(event_type in ('purchase', 'click') as int) label", "cast(floor(value) as bigint) % 101 score"
+    )
+    return plan.precision_recall(rows)
+
+
+# --- screening -------------------------------------------------------------------------------------------------------
+
+
+def _screen_tables(spark: SparkSession, d: str) -> plan.Tables:
+    return plan.Tables(*_t(spark, d, "sanctions_records", "sanctions_names", "sanctions_dates", "sanctions_countries", "sanctions_ref_countries"))
+
+
+@query()
+def screen_names(spark: SparkSession, d: str) -> DataFrame:
+    return plan.screen(_searches(spark), _screen_tables(spark, d))
+
+
+@query()
+def screen_with_factors(spark: SparkSession, d: str) -> DataFrame:
+    asked = _searches(spark).withColumn("date_of_birth", F.lit("1976-03")).withColumn("citizenship", F.array(F.lit("North Vinesh")))
+    return plan.screen(asked, _screen_tables(spark, d), plan.Options(min_score=60))
+
+
+@query()
+def screen_shadow_counts(spark: SparkSession, d: str) -> DataFrame:
+    tables = _screen_tables(spark, d)
+    found = plan.screen(_searches(spark), tables, plan.Options(min_score=60, shadow=True))
+    return plan.shadow_comparison(found, 60)
