@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from namelode.llm.distance import edit_distance, plain_text
+from namelode.session import durable
 
 #: How a direction in a name is also written.
 DIRECTIONS = {"north": ("northern", "n"), "south": ("southern", "s"), "east": ("eastern", "e"), "west": ("western", "w")}
@@ -195,7 +196,7 @@ def mapped_countries(countries: DataFrame, reference: DataFrame, one_in: int = 1
     rows = rows.withColumn("v", value)
     counts = rows.groupBy("v").agg(F.count("*").alias("rows_of"))
     typed = counts.select(F.explode(F.array("v.c", "v.n")).alias("typed")).filter(F.trim("typed") != "").distinct()
-    found = match_values(typed, reference)
+    found = durable(match_values(typed, reference))
     meant = (
         counts.join(found.select(F.col("typed").alias("tc"), F.col("code").alias("by_code")), F.col("v.c") == F.col("tc"), "left")
         .join(found.select(F.col("typed").alias("tn"), F.col("code").alias("by_name")), F.col("v.n") == F.col("tn"), "left")
