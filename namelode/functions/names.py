@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -13,6 +14,11 @@ from namelode.functions import lexicon as lex
 SPACE = r"\p{IsWhite_Space}"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of ``value``, which is written and computed once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _cased(col: Column) -> Column:
     # letters whose lower case depends on their neighbours or grows, mapped one to one
     return F.lower(F.translate(col, "Σİ", "σi"))
@@ -49,7 +55,7 @@ def normalize(col: Column) -> Column:
     Other characters vanish without leaving a blank; compound given names are one word. NULL stays NULL, a
     name of nothing else is ''.
     """
-    return F.array_join(_joined_compounds(F.split(_folded(col), " ")), " ")
+    return F.array_join(let(F.split(_folded(col), " "), _joined_compounds), " ")
 
 
 def tokenize(normalized: Column) -> Column:
@@ -92,9 +98,7 @@ def strip_article(token: Column) -> Column:
 
 def article_variant(token: Column) -> Column:
     """The normalised word without its article if it has one, else ''."""
-    plain = normalize(token)
-    bare = strip_article(plain)
-    return F.when(bare == plain, "").otherwise(bare)
+    return let(normalize(token), lambda plain: let(strip_article(plain), lambda bare: F.when(bare == plain, "").otherwise(bare)))
 
 
 def skeleton(token: Column) -> Column:
@@ -110,14 +114,12 @@ def short_filtered(tokens: Column) -> Column:
 
 def without_connectors(tokens: Column) -> Column:
     """Words that are no connectors or titles, unless fewer than two would be left."""
-    kept = F.filter(tokens, lambda t: ~t.isin(*CONNECTORS))
-    return F.when(F.size(kept) < 2, tokens).otherwise(kept)
+    return let(F.filter(tokens, lambda t: ~t.isin(*CONNECTORS)), lambda kept: F.when(F.size(kept) < 2, tokens).otherwise(kept))
 
 
 def content_tokens(tokens: Column) -> Column:
     """The words that identify: no initials and connectors, but never none."""
-    longer = short_filtered(tokens)
-    return F.when(F.size(longer) == 0, tokens).otherwise(without_connectors(longer))
+    return let(short_filtered(tokens), lambda longer: F.when(F.size(longer) == 0, tokens).otherwise(without_connectors(longer)))
 
 
 def is_arabic(col: Column) -> Column:
@@ -127,7 +129,10 @@ def is_arabic(col: Column) -> Column:
 
 def _with_vowels(latin: Column) -> Column:
     """An 'a' after each consonant that another follows, but for digraphs and behind a vowel."""
-    letters = F.split(latin, "")
+    return let(F.split(latin, ""), _vowelled)
+
+
+def _vowelled(letters: Column) -> Column:
     size = F.size(letters)
     start = F.struct(F.lit("").alias("out"), F.lit("").alias("before"))
     vowel = lambda c: c.isin("a", "e", "i", "o", "u")
@@ -154,4 +159,4 @@ def transliterate(col: Column) -> Column:
             text = F.replace(text, F.lit(letter), F.lit(latin))
     text = F.translate(text, "".join(single), "".join(single.values()))
     text = F.regexp_replace(F.regexp_replace(text, SPACE, " "), r"[^\p{L}\p{Nd} ]", "")
-    return F.when(is_arabic(col), _with_vowels(F.trim(text))).otherwise(col)
+    return F.when(is_arabic(col), let(F.trim(text), _with_vowels)).otherwise(col)

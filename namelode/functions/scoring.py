@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from namelode.functions import names as nm
 from namelode.functions.lexicon import COMMON_TOKENS
+from namelode.functions.names import let
 
 # Floors, weights and limits of the rules.
 TOKEN_FLOOR, TOKEN_ACCEPT, SKELETON_SCORE, SKELETON_LETTERS = 65, 85, 85, 3
@@ -23,11 +24,6 @@ def div(a: Column, b: Column | int) -> Column:
     return F.call_function("div", a.cast("bigint"), (F.lit(b) if isinstance(b, int) else b).cast("bigint"))
 
 
-def let(value: Column, use) -> Column:
-    """``use`` of ``value``, which is computed once however often it is used."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def levenshtein_similarity(a: Column, b: Column) -> Column:
     """How much of the longer text needs no edit, in percent; 100 if both are ''."""
     longer = F.greatest(F.length(a), F.length(b))
@@ -36,9 +32,10 @@ def levenshtein_similarity(a: Column, b: Column) -> Column:
 
 def prepared(tokens: Column) -> Column:
     """Words with what their comparison needs, computed once for each: (t, bare, bones)."""
-    return F.transform(
-        tokens, lambda t: F.struct(t.alias("t"), nm.strip_article(t).alias("bare"), nm.skeleton(nm.strip_article(t)).alias("bones"))
-    )
+    def one(t: Column) -> Column:
+        return let(nm.strip_article(t), lambda bare: F.struct(t.alias("t"), bare.alias("bare"), nm.skeleton(bare).alias("bones")))
+
+    return F.transform(tokens, one)
 
 
 def prepared_similarity(a: Column, b: Column) -> Column:
@@ -103,18 +100,19 @@ def part_gated(score: Column, query: Column, candidate: Column) -> Column:
 
 def name_form(name: Column, entity: bool = False) -> Column:
     """Everything a scorer needs of a name, to be computed once for each name and stored beside it."""
-    def form(n: Column) -> Column:
-        tokens = nm.tokenize(n)
-        shorter = nm.short_filtered(tokens)
-        full = F.struct(n.alias("n"), prepared(tokens).alias("all"), prepared(shorter).alias("short"),
+    def person(n: Column, tokens: Column, shorter: Column) -> Column:
+        return F.struct(n.alias("n"), prepared(tokens).alias("all"), prepared(shorter).alias("short"),
                         prepared(nm.without_connectors(shorter)).alias("kept"), prepared(nm.content_tokens(tokens)).alias("content"))
-        if not entity:
-            return full
-        sig = F.filter(tokens, lambda t: ~t.isin(*nm.ENTITY_NOISE))
-        noise = F.filter(tokens, lambda t: t.isin(*nm.ENTITY_NOISE))
+
+    def organisation(n: Column, tokens: Column, sig: Column) -> Column:
         none = F.size(sig) == 0
-        return F.struct(n.alias("n"), prepared(F.when(none, tokens).otherwise(sig)).alias("sig"),
-                        prepared(F.when(none, F.array().cast("array<string>")).otherwise(noise)).alias("noise"))
+        noise = F.when(none, F.array().cast("array<string>")).otherwise(F.filter(tokens, lambda t: t.isin(*nm.ENTITY_NOISE)))
+        return F.struct(n.alias("n"), prepared(F.when(none, tokens).otherwise(sig)).alias("sig"), prepared(noise).alias("noise"))
+
+    def form(n: Column) -> Column:
+        if entity:
+            return let(nm.tokenize(n), lambda t: let(F.filter(t, lambda w: ~w.isin(*nm.ENTITY_NOISE)), lambda sig: organisation(n, t, sig)))
+        return let(nm.tokenize(n), lambda t: let(nm.short_filtered(t), lambda shorter: person(n, t, shorter)))
 
     return let(nm.normalize(name), form)
 

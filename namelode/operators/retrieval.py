@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from namelode.functions import names as nm
-from namelode.session import nullif_empty
+from namelode.session import durable, nullif_empty
 
 #: Characters that a searched name loses, without leaving a blank.
 SEARCH_MARKS = r"""[+\-><()~*"\\@.,;:!?']"""
@@ -29,12 +29,17 @@ def term_groups(tokens: Column, broad: bool = False) -> Column:
     """
     each = F.transform(tokens, lambda t, i: F.struct(i.alias("pos"), t.alias("token"), nm.article_variant(t).alias("variant"),
                                                      nm.normalize(t).isin(*nm.CONNECTORS).alias("connector")))
+    return nm.let(each, lambda groups: _with_required(groups, broad))
+
+
+def _with_required(each: Column, broad: bool) -> Column:
     telling = F.filter(each, lambda t: ~t["connector"])
     ordered = F.array_sort(F.transform(telling, lambda t: F.struct((-F.length(t["token"])).alias("l"), t["pos"].alias("pos"))))
     wanted = F.least(F.lit(1), F.size(telling)) if broad else F.floor((F.size(telling) + 1) / 2).cast("int")
     required = F.transform(F.slice(ordered, 1, wanted), lambda t: t["pos"])
-    return F.transform(each, lambda t: F.struct(t["pos"].alias("pos"), t["token"].alias("token"), t["variant"].alias("variant"),
-                                                F.array_contains(required, t["pos"]).alias("required")))
+    return nm.let(required, lambda must: F.transform(each, lambda t: F.struct(
+        t["pos"].alias("pos"), t["token"].alias("token"), t["variant"].alias("variant"), F.array_contains(must, t["pos"]).alias("required")
+    )))
 
 
 def boolean_query(groups: Column) -> Column:
@@ -73,7 +78,7 @@ def matching_rows(queries: DataFrame, names: DataFrame, broad: bool = False, lim
     read only where a query has no rarer one. Relevance sums the rarity of the matched words; the best
     ``limit`` rows of each query are kept, ties by record and row. Queries without words match nothing.
     """
-    groups = queries.select("query_id", term_groups(search_tokens(F.col("name")), broad).alias("groups")).filter(F.size("groups") > 0)
+    groups = durable(queries.select("query_id", term_groups(search_tokens(F.col("name")), broad).alias("groups")).filter(F.size("groups") > 0))
     rows = name_terms(names)
     posted = rows.select("name_id", "record_id", F.explode("terms").alias("term"))
     vocabulary = posted.groupBy("term").agg(F.count("*").alias("df"))
@@ -109,7 +114,7 @@ def matching_rows(queries: DataFrame, names: DataFrame, broad: bool = False, lim
 
 def retrieved_rows(queries: DataFrame, names: DataFrame, limit: int = ROW_LIMIT) -> DataFrame:
     """The precise matches of each query, or where it has none the broad ones."""
-    precise = matching_rows(queries, names, False, limit)
+    precise = durable(matching_rows(queries, names, False, limit))
     left = queries.join(precise.select("query_id").distinct(), "query_id", "left_anti")
     return precise.unionByName(matching_rows(left, names, True, limit))
 
@@ -124,7 +129,7 @@ def like_rows(queries: DataFrame, names: DataFrame, limit: int = ROW_LIMIT) -> D
     least = F.when(F.size("tokens") <= 2, F.size("tokens")).otherwise(F.floor((F.size("tokens") + 1) / 2))
     asked = F.broadcast(tokens.withColumn("least", least))
     texts = names.select(F.col("id").alias("name_id"), "record_id", F.transform(F.array(*NAME_COLUMNS), F.lower).alias("texts"))
-    within = lambda t: F.exists("texts", lambda x: x.like(F.concat(F.lit("%"), t, F.lit("%"))))
+    within = lambda t: F.exists("texts", lambda x: F.like(x, F.concat(F.lit("%"), t, F.lit("%"))))
     enough = F.size(F.filter("tokens", within)) >= F.col("least")
     met = texts.join(asked, enough).select("query_id", "name_id", "record_id")
     at = F.row_number().over(Window.partitionBy("query_id").orderBy("record_id", "name_id"))
@@ -141,5 +146,7 @@ def variants(names: DataFrame) -> DataFrame:
     original = F.col("original_script_name")
     forms = F.array("entity_name", parts, "single_string_name", original, F.when(nm.is_arabic(original), nm.transliterate(original)))
     clean = F.transform(forms, lambda n: F.regexp_replace(F.coalesce(n, F.lit("")), f"^{nm.SPACE}+|{nm.SPACE}+$", ""))
-    first = F.filter(clean, lambda n, i: (n != "") & ~F.exists(F.slice(clean, 1, i), lambda o: F.lower(o) == F.lower(n)))
+    first = nm.let(clean, lambda all_forms: F.filter(
+        all_forms, lambda n, i: (n != "") & ~F.exists(F.slice(all_forms, 1, i), lambda o: F.lower(o) == F.lower(n))
+    ))
     return names.select(F.col("id").alias("name_id"), "record_id", F.posexplode(first).alias("ord", "name"))

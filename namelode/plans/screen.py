@@ -12,6 +12,7 @@ from namelode.functions.countries import country_index, country_key
 from namelode.functions.dates import parse_partial_date
 from namelode.operators.factors import with_factors
 from namelode.operators.retrieval import like_rows, retrieved_rows, searchable, variants
+from namelode.session import durable
 
 # Margins and limits of the rules.
 FACTOR_BOOST, ALIAS_MARGIN, ALIAS_RECORDS, FACTOR_RECORDS, RESULT_RECORDS = 16, 20, 100, 200, 50
@@ -91,7 +92,7 @@ def _best(scored: DataFrame, queries: DataFrame, options: Options) -> DataFrame:
 
 def _expanded(rows: DataFrame, tables_names: DataFrame, queries: DataFrame, options: Options, weight=None) -> DataFrame:
     """The scores of the retrieved rows and of all other name rows of the best records among them."""
-    first = _scored(rows, tables_names, queries, options, weight)
+    first = durable(_scored(rows, tables_names, queries, options, weight))
     record = first.groupBy("query_id", "record_id").agg(F.max("live").alias("best"))
     at = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("best"), "record_id"))
     near = record.filter(F.col("best") >= max(0, options.min_score - ALIAS_MARGIN)).withColumn("n", at).filter(F.col("n") <= ALIAS_RECORDS)
@@ -111,7 +112,7 @@ def screen(queries: DataFrame, tables: Tables, options: Options = Options(), wei
     """
     options = options.normal()
     entity = options.search_type == "entity"
-    asked = prepared_queries(queries, tables, entity)
+    asked = durable(prepared_queries(queries, tables, entity))
     names = searchable(tables.names, tables.records, options.search_type)
     weight = None
     if weights is not None and options.shadow and not entity:
@@ -119,8 +120,8 @@ def screen(queries: DataFrame, tables: Tables, options: Options = Options(), wei
         heavy = weights.filter("weight < 100").agg(F.map_from_entries(F.collect_list(F.struct("token", "weight"))).alias("w"))
         asked = asked.join(F.broadcast(heavy)).withColumn("q", F.col("q").withField("w", F.col("w"))).drop("w")
         weight = lambda bare: F.coalesce(F.col("q")["w"][bare], F.lit(100)).cast("bigint")
-    rows = retrieved_rows(asked.select("query_id", "name"), names)
-    best = _best(_expanded(rows, names, asked, options, weight), asked, options)
+    rows = durable(retrieved_rows(asked.select("query_id", "name"), names))
+    best = durable(_best(_expanded(rows, names, asked, options, weight), asked, options))
     if options.like_fallback:
         left = asked.join(best.select("query_id").distinct(), "query_id", "left_anti")
         best = best.unionByName(_best(_expanded(like_rows(left.select("query_id", "name"), names), names, left, options, weight), left, options))

@@ -340,12 +340,12 @@ def transliterated_names(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", nm.transliterate(F.col("original_script_name")).alias("latin"))
 
 
-_SURNAME_TOKENS = r"""(select distinct lower(unnest(regexp_extract_all(surname, '[A-Za-z]+'))) t from sanctions_names where surname is not null)"""
+_SURNAME_TOKENS = r"""(select distinct unnest(regexp_extract_all(lower(surname), '[a-z]+')) t from sanctions_names where regexp_matches(surname, '^[\x00-\x7F]*$'))"""
 
 
 def _surname_tokens(spark: SparkSession, d: str) -> DataFrame:
-    words = F.explode(F.regexp_extract_all("surname", F.lit("[A-Za-z]+"), 0))
-    return table(spark, d, "sanctions_names").select(F.lower(words).alias("t")).distinct()
+    words = F.explode(F.regexp_extract_all(F.lower("surname"), F.lit("[a-z]+"), 0))
+    return table(spark, d, "sanctions_names").filter(F.col("surname").rlike(r"^[\x00-\x7F]*$")).select(words.alias("t")).distinct()
 
 
 @query(
