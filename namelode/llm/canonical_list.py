@@ -51,7 +51,7 @@ def entry_forms(reference: DataFrame) -> DataFrame:
         "c",
         "words",
         F.try_element_at(F.filter("words", lambda w: known[w].isNotNull()), F.lit(1)).alias("direction"),
-        F.array_join(F.array_except("words", "common"), "").alias("core"),
+        F.array_join(F.filter(F.array_except("words", "common"), lambda w: known[w].isNull()), "").alias("core"),
     )
     turned = []
     for name, others in DIRECTIONS.items():

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -201,6 +201,8 @@ def agreement(a: dict, b: dict) -> float | None:
         return None
     if hits == 2 and not (year or land) and alike < 0.9:
         return None
+    if hits == 2 and len(main_a) != len(main_b) and lands and not land:
+        return None
     if weak and (a["entity"] or not (year or land) or hits == 2 and not (year and land)):
         return None
     score = 0.35 * alike + 0.15 * min(1.0, hits / 3) + 0.25 * (1.0 if year else 0.0 if years else 0.5)
@@ -208,8 +210,15 @@ def agreement(a: dict, b: dict) -> float | None:
     return round(score, 4)
 
 
-def agreed(pairs: DataFrame, people: DataFrame) -> DataFrame:
-    """(a, b, agreement) of those ``pairs`` (a, b) of record ids whose profiles mean the same one."""
+def no_contradiction(a: dict, b: dict) -> float | None:
+    """1 unless each name has a word that is like none of the other's; for pairs matched through a third record."""
+    lonely = lambda words, others: any(not any(word_likeness(w, o) for o in others) for w in words)
+    strange = lonely(a["main"], b["words"]), lonely(b["main"], a["words"])
+    return None if a["entity"] != b["entity"] or all(strange) or a["entity"] and any(strange) else 1.0
+
+
+def agreed(pairs: DataFrame, people: DataFrame, judge: Callable[[dict, dict], float | None] = agreement) -> DataFrame:
+    """(a, b, agreement) of those ``pairs`` (a, b) of record ids whose profiles ``judge`` doesn't reject."""
     shape = F.struct("entity", "gender", "main", "words", "years", "codes")
     side = people.select("id", shape.alias("p"))
     both = pairs.join(side.select(F.col("id").alias("a"), F.col("p").alias("pa")), "a").join(
@@ -218,7 +227,7 @@ def agreed(pairs: DataFrame, people: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            strength = [agreement(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            strength = [judge(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             out = pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(strength, pa.float64())], ["a", "b", "agreement"]
             )
