@@ -119,19 +119,25 @@ def retrieved_rows(queries: DataFrame, names: DataFrame, limit: int = ROW_LIMIT)
     return precise.unionByName(matching_rows(left, names, True, limit))
 
 
-def like_rows(queries: DataFrame, names: DataFrame, limit: int = ROW_LIMIT) -> DataFrame:
+def like_rows(queries: DataFrame, names: DataFrame, limit: int = ROW_LIMIT, block: int = 500) -> DataFrame:
     """(query_id, name_id, record_id): rows that hold enough words of a query anywhere in their columns.
 
-    Both words of two, else half of them rounded up; % and _ in a word stay wildcards. The scan compares every
-    row with every query: it is meant for the few queries that nothing else answers.
+    Both words of two, else half of them rounded up; % and _ in a word stay wildcards. Every row is held against
+    every query, which nothing short of that can answer: the queries, few as they are, go to the rows in
+    blocks of about ``block``. Queries without words match nothing.
     """
     tokens = queries.select("query_id", F.transform(search_tokens(F.col("name")), F.lower).alias("tokens")).filter(F.size("tokens") > 0)
     least = F.when(F.size("tokens") <= 2, F.size("tokens")).otherwise(F.floor((F.size("tokens") + 1) / 2))
-    asked = F.broadcast(tokens.withColumn("least", least))
+    asked = durable(tokens.withColumn("least", least))
     texts = names.select(F.col("id").alias("name_id"), "record_id", F.transform(F.array(*NAME_COLUMNS), F.lower).alias("texts"))
     within = lambda t: F.exists("texts", lambda x: F.like(x, F.concat(F.lit("%"), t, F.lit("%"))))
     enough = F.size(F.filter("tokens", within)) >= F.col("least")
-    met = texts.join(asked, enough).select("query_id", "name_id", "record_id")
+    blocks = max(1, -(-asked.count() // block))
+    met = None
+    for n in range(blocks):
+        part = F.broadcast(asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n))
+        found = texts.join(part, enough).select("query_id", "name_id", "record_id")
+        met = found if met is None else met.unionByName(found)
     at = F.row_number().over(Window.partitionBy("query_id").orderBy("record_id", "name_id"))
     return met.withColumn("n", at).filter(F.col("n") <= limit).drop("n")
 
