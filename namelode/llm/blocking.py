@@ -15,6 +15,8 @@ from namelode.session import durable
 
 #: Letters of another word of the name that go with a word.
 CONTEXT = 3
+#: Keys of so few parts meet without facts: saves rows, changes no result, as facts are complete.
+FEW = 30
 
 
 def deletions(word: str) -> list[str]:
@@ -77,10 +79,18 @@ def parts(people: DataFrame) -> DataFrame:
 
 
 def facts(years: Column, codes: Column, thirds: Column) -> tuple[Column, Column]:
-    """What two records whose two words agree must share besides, as marks of the left and of the right one."""
+    """What two records whose two words agree must share besides, as marks of the left and of the right one.
+
+    Complete for ``agreement``: a year or the one before or behind, its digits in another order, a country, a third
+    word, or that one of the two has no year and one of the two no country.
+    """
     mark = lambda m, values: F.transform(values, lambda v: F.concat(F.lit(m), v.cast("string")))
-    shared = F.concat(mark("y", years), mark("c", codes), mark("r", thirds))
-    return shared, shared
+    digits = F.transform(years, lambda y: F.array_join(F.array_sort(F.split(y.cast("string"), "")), ""))
+    around = F.array_distinct(F.flatten(F.transform(years, lambda y: F.array(y - 1, y, y + 1))))
+    missing = F.when(F.size(years) == 0, 1).otherwise(0) + F.when(F.size(codes) == 0, 2).otherwise(0)
+    fits = F.filter(F.array(*(F.lit(s) for s in range(4))), lambda s: s.bitwiseOR(missing) == 3)
+    shared = F.concat(mark("s", F.array_distinct(digits)), mark("c", codes), mark("r", thirds))
+    return F.concat(mark("y", around), mark("m", fits), shared), F.concat(mark("y", years), mark("m", F.array(missing)), shared)
 
 
 def alike_words(a: Column, b: Column) -> Column:
@@ -89,10 +99,11 @@ def alike_words(a: Column, b: Column) -> Column:
     return F.levenshtein(a, b, 4).between(0, 4) | a.startswith(stem(b)) | b.startswith(stem(a)) | joined
 
 
-def meetings(placed: DataFrame, people: DataFrame, across: bool, few: int = 0) -> DataFrame:
+def meetings(placed: DataFrame, people: DataFrame, across: bool, few: int = FEW) -> DataFrame:
     """(a, b): records of ``people`` that can agree, of the parts (id, i, j, word, other, thirds, hashes) that share a hash.
 
-    They meet with a fact in common, so a frequent name is spread over years and countries. ``across``: official records with others; else a < b.
+    Hashes of few parts meet as they are; those of many only with a fact in common, so a frequent name is spread
+    over years and countries. ``across``: official records with others; else a < b.
     """
     rows = durable(placed.select("id", "i", "j", "word", "other", "thirds", F.explode("hashes").alias("h")).join(people.select("id", "official", "years", "codes"), "id"))
     sides = (F.count_if("official") > 0) & (F.count_if(~F.col("official")) > 0) if across else F.min("id") < F.max("id")
