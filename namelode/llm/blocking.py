@@ -1,127 +1,72 @@
-"""Keys under which records meet whose names, years and countries can agree."""
+"""How records that share a block meet, however many share it, and what rules a pair out before it is compared."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import combinations
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from namelode.llm.identity import JOINED, stem, word_likeness
-from namelode.session import durable
-
-#: Letters of another word of the name that go with a word.
-CONTEXT = 3
-#: Keys of so few parts meet without facts: saves rows, changes no result, as facts are complete.
-FEW = 30
 
+#: Blocks of so few indexed rows meet as they are: saves rows, changes no result, as facts are complete.
+FEW = 64
 
-def deletions(word: str) -> list[str]:
-    """``word`` without up to two of its letters: words within two edits or swaps share one."""
-    if len(word) < 4:
-        return []
-    n = len(word)
-    return list({word} | {word[:i] + word[i + 1 :] for i in range(n)} | {word[:i] + word[i + 1 : j] + word[j + 1 :] for i, j in combinations(range(n), 2)})
 
+def _digits(years: Column) -> Column:
+    return F.transform(years, lambda y: F.array_join(F.array_sort(F.split(y.cast("string"), "")), ""))
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _deletions(words: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for series in words:
-        yield pd.Series([deletions(w) for w in series], dtype=object)
 
+def _around(years: Column) -> Column:
+    return F.array_distinct(F.flatten(F.transform(years, lambda y: F.array(y - 1, y, y + 1))))
 
-@F.pandas_udf(T.BooleanType())
-def _linked(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for a, b in pairs:
-        yield pd.Series([word_likeness(x, y) > 0 for x, y in zip(a, b)], dtype=bool)
 
+def facts(years: Column, codes: Column, words: Column) -> tuple[Column, Column]:
+    """What two records that agree share besides a block, as marks of the left and of the right one.
 
-def word_links(words: DataFrame) -> DataFrame:
-    """(word, key) of each (word, n): words that ``word_likeness`` finds alike share a key, each word has itself.
-
-    All verified links are kept: of two words a few letters apart the rarer has the more frequent as a key, of a
-    word and its beginning, familiar form or form without particle the longer has the shorter.
-    """
-    cut = words.select("word", "n", F.explode(_deletions("word")).alias("cut")).select("word", "n", F.xxhash64("cut").alias("cut"))
-    near = cut.join(cut.select("cut", F.col("word").alias("key"), F.col("n").alias("key_n")), "cut")
-    more = (F.col("key_n") > F.col("n")) | ((F.col("key_n") == F.col("n")) & (F.col("key") < F.col("word")))
-    edited = near.filter(more & F.levenshtein("word", "key", 4).between(1, 4)).select("word", "key").distinct()
-    starts = words.select("word", F.explode(F.transform(F.sequence(F.lit(2), F.length("word")), lambda n: F.col("word").substr(F.lit(1), n))).alias("start"))
-    heads = words.select(F.col("word").alias("head"), F.explode(F.array_distinct(F.array(F.col("word"), stem(F.col("word"))))).alias("start"))
-    begun = starts.join(heads, "start").select("word", "head")
-    joined = words.select("word", F.explode(F.array(*(F.when(F.col("word").startswith(p), F.substring("word", len(p) + 1, 99)) for p in JOINED))).alias("head"))
-    joined = joined.join(words.select(F.col("word").alias("head")), "head", "left_semi").select("word", "head")
-    shorter = lambda a, b: (F.length(a) < F.length(b)) | ((F.length(a) == F.length(b)) & (a < b))
-    word, head = F.col("word"), F.col("head")
-    formed = begun.unionByName(joined).filter(word != head)
-    formed = formed.select(F.when(shorter(head, word), word).otherwise(head).alias("word"), F.when(shorter(head, word), head).otherwise(word).alias("key"))
-    links = edited.unionByName(formed).distinct().repartition("word").filter(_linked("word", "key"))
-    return links.unionByName(words.select("word", F.col("word").alias("key")))
-
-
-def parts(people: DataFrame) -> DataFrame:
-    """(id, i, j, word, other, keys, context, contexts, thirds): each word of a name with each other word of it.
-
-    ``keys`` are those of the word, ``contexts`` the beginnings of the other's, ``thirds`` those of all further words.
-    """
-    at = people.select("id", F.posexplode("main").alias("i", "word"))
-    links = word_links(at.groupBy("word").agg(F.count("*").alias("n")))
-    begin = lambda k: F.substring(k, 1, CONTEXT)
-    known = links.groupBy("word").agg(F.collect_set("key").alias("keys"), F.collect_set(begin(F.col("key"))).alias("contexts"))
-    names = at.join(known, "word").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("i", "word", "keys", "contexts"))).alias("all"))
-    both = names.select("id", "all", F.explode("all").alias("x")).select("id", "all", "x", F.explode("all").alias("y")).filter("x.i <> y.i")
-    further = F.filter("all", lambda w: (w["i"] != F.col("x.i")) & (w["i"] != F.col("y.i")))
-    return both.select("id", F.col("x.i").alias("i"), F.col("y.i").alias("j"), F.col("x.word").alias("word"), F.col("y.word").alias("other"), F.col("x.keys").alias("keys"),
-                       begin(F.col("y.word")).alias("context"), F.col("y.contexts").alias("contexts"), F.array_distinct(F.flatten(F.transform(further, lambda w: w["contexts"]))).alias("thirds"))
-
-
-def facts(years: Column, codes: Column, thirds: Column) -> tuple[Column, Column]:
-    """What two records whose two words agree must share besides, as marks of the left and of the right one.
-
-    Complete for ``agreement``: a year or the one before or behind, its digits in another order, a country, a third
-    word, or that one of the two has no year and one of the two no country.
+    Complete for ``identity.agreement``: a year or the one before or behind, its digits in another order, a country, that
+    one of the two has no year and one of the two no country, or, where facts contradict each other, three like
+    words, of which two have the same beginning.
     """
     mark = lambda m, values: F.transform(values, lambda v: F.concat(F.lit(m), v.cast("string")))
-    digits = F.transform(years, lambda y: F.array_join(F.array_sort(F.split(y.cast("string"), "")), ""))
-    around = F.array_distinct(F.flatten(F.transform(years, lambda y: F.array(y - 1, y, y + 1))))
     missing = F.when(F.size(years) == 0, 1).otherwise(0) + F.when(F.size(codes) == 0, 2).otherwise(0)
     fits = F.filter(F.array(*(F.lit(s) for s in range(4))), lambda s: s.bitwiseOR(missing) == 3)
-    shared = F.concat(mark("s", F.array_distinct(digits)), mark("c", codes), mark("r", thirds))
-    return F.concat(mark("y", around), mark("m", fits), shared), F.concat(mark("y", years), mark("m", F.array(missing)), shared)
+    begun = F.array_sort(F.array_distinct(F.transform(words, lambda w: w.substr(1, 3))))
+    two = F.flatten(F.transform(begun, lambda x, i: F.transform(F.slice(begun, i + 2, F.size(begun)), lambda y: F.concat(x, F.lit("|"), y))))
+    shared = F.concat(mark("s", F.array_distinct(_digits(years))), mark("c", codes), mark("w", F.when(F.size(begun) > 2, two).otherwise(F.array().cast("array<string>"))))
+    return F.concat(mark("y", _around(years)), mark("m", fits), shared), F.concat(mark("y", years), mark("m", F.array(missing)), shared)
+
+
+def met(index: DataFrame, probes: DataFrame, people: DataFrame, fits: Column, few: int = FEW) -> DataFrame:
+    """(a, b): ids ``a`` of ``index`` (a, h, ...) and ``b`` of ``probes`` (b, h, ...) with the same ``h`` that ``fits``.
+
+    Blocks of more than ``few`` indexed rows meet only where records also share a fact, so a block that holds a large
+    part of all rows is spread over years, countries and words; see ``facts``.
+    """
+    held = index.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > few).select("h", F.lit(True).alias("many"))
+    index, probes = index.join(held, "h", "left"), probes.join(held, "h", "left")
+    usual = index.filter("many is null").drop("many").join(probes.filter("many is null").drop("many"), "h")
+    of_left, of_right = facts(F.col("years"), F.col("codes"), F.col("main"))
+    known = people.select("id", "years", "codes", "main")
+
+    def spread(side: DataFrame, key: str, marks: Column) -> DataFrame:
+        rows = side.filter("many").drop("many").join(known.withColumnRenamed("id", key), key)
+        rows = rows.withColumn("fact", F.explode(marks)).drop("years", "codes", "main")
+        return rows.withColumn("g", F.xxhash64("h", "fact")).drop("h", "fact")
+
+    crowded = spread(index, "a", of_left).join(spread(probes, "b", of_right), "g")
+    return usual.filter(fits).select("a", "b").unionByName(crowded.filter(fits).select("a", "b")).distinct()
 
 
-def alike_words(a: Column, b: Column) -> Column:
-    """Whether ``word_likeness`` may find two words alike, without the work of the exact comparison."""
-    joined = a.endswith(b) | b.endswith(a)
-    return F.levenshtein(a, b, 4).between(0, 4) | a.startswith(stem(b)) | b.startswith(stem(a)) | joined
+def profiled(pairs: DataFrame, people: DataFrame) -> DataFrame:
+    """(a, b, pa, pb): ``pairs`` (a, b) of ids with the profiles of both."""
+    side = people.select("id", F.struct("entity", "gender", "main", "words", "bags", "years", "codes").alias("p"))
+    left = pairs.join(side.select(F.col("id").alias("a"), F.col("p").alias("pa")), "a")
+    return left.join(side.select(F.col("id").alias("b"), F.col("p").alias("pb")), "b").select("a", "b", "pa", "pb")
 
 
-def meetings(placed: DataFrame, people: DataFrame, across: bool, few: int = FEW) -> DataFrame:
-    """(a, b): records of ``people`` that can agree, of the parts (id, i, j, word, other, thirds, hashes) that share a hash.
+def possible(pairs: DataFrame, people: DataFrame) -> DataFrame:
+    """``profiled`` ``pairs``, without those of another kind or that contradict each other.
 
-    Hashes of few parts meet as they are; those of many only with a fact in common, so a frequent name is spread
-    over years and countries. ``across``: official records with others; else a < b.
+    They do if both have years and countries and share neither a year (or the next, or its digits) nor a country.
     """
-    rows = durable(placed.select("id", "i", "j", "word", "other", "thirds", F.explode("hashes").alias("h")).join(people.select("id", "official", "years", "codes"), "id"))
-    sides = (F.count_if("official") > 0) & (F.count_if(~F.col("official")) > 0) if across else F.min("id") < F.max("id")
-    held = rows.groupBy("h").agg(F.count("*").alias("n"), sides.alias("sides")).filter("sides").select("h", (F.col("n") > few).alias("many"))
-    shared = rows.join(held, "h")
-    nothing = F.array(F.lit(""))
-    of_left, of_right = (F.explode(F.when(F.col("many"), x).otherwise(nothing)).alias("fact") for x in facts(F.col("years"), F.col("codes"), F.col("thirds")))
-    one_order = F.col("i") < F.col("j")
-    left = shared.filter(one_order & F.col("official") if across else one_order).select("id", "word", "other", "h", of_left)
-    right = (shared.filter(~F.col("official")) if across else shared).select(F.col("id").alias("id_b"), F.col("word").alias("word_b"), F.col("other").alias("other_b"), "h", of_right)
-    spread = lambda side: side.withColumn("g", F.xxhash64("h", "fact")).drop("h", "fact")
-    met = spread(left).join(spread(right), "g")
-    if not across:
-        met = met.filter(F.col("id") < F.col("id_b"))
-    fits = alike_words(F.col("word"), F.col("word_b")) & alike_words(F.col("other"), F.col("other_b"))
-    return met.filter(fits).select(F.col("id").alias("a"), F.col("id_b").alias("b")).distinct()
-
-
-def link_hashes() -> Column:
-    """Of a part: each key of the word with each beginning of the other's keys."""
-    return F.flatten(F.transform("keys", lambda k: F.transform("contexts", lambda c: F.xxhash64(k, c))))
+    year = (F.size("pa.years") == 0) | (F.size("pb.years") == 0) | F.arrays_overlap(_around(F.col("pa.years")), "pb.years")
+    year = year | F.arrays_overlap(_digits(F.col("pa.years")), _digits(F.col("pb.years")))
+    land = (F.size("pa.codes") == 0) | (F.size("pb.codes") == 0) | F.arrays_overlap("pa.codes", "pb.codes")
+    return profiled(pairs, people).filter((F.col("pa.entity") == F.col("pb.entity")) & (year | land))

@@ -32,16 +32,32 @@ JOINED = ("bin", "al", "el", "ibn", "abu")
 FAMILIAR = ("chik", "ie", "ko", "i", "o", "y")
 
 
+#: Cyrillic and Arabic letters as Latin ones; letters of no sound give ''.
+LATIN_LETTERS = {"а": "a", "б": "b", "в": "v", "г": "g", "ґ": "g", "д": "d", "е": "e", "є": "e", "ё": "e", "ж": "zh", "з": "z", "и": "i",
+                 "і": "i", "ї": "i", "й": "i", "к": "k", "л": "l", "м": "m", "н": "n", "о": "o", "п": "p", "р": "r", "с": "s", "т": "t",
+                 "у": "u", "ф": "f", "х": "kh", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "sh", "ъ": "", "ы": "i", "ь": "", "э": "e",
+                 "ю": "iu", "я": "ia", "ا": "a", "أ": "a", "إ": "i", "آ": "a", "ى": "i", "ي": "i", "ی": "i", "ئ": "i", "ب": "b", "پ": "p",
+                 "ت": "t", "ة": "a", "ث": "th", "ج": "j", "چ": "ch", "ح": "h", "خ": "kh", "د": "d", "ذ": "d", "ر": "r", "ز": "z", "ژ": "zh",
+                 "س": "s", "ش": "sh", "ص": "s", "ض": "d", "ط": "t", "ظ": "z", "ع": "a", "غ": "g", "ف": "f", "ق": "k", "ك": "k", "ک": "k",
+                 "گ": "g", "ل": "l", "م": "m", "ن": "n", "ه": "h", "و": "u", "ؤ": "u", "ء": "", "ـ": ""}
+_TO_LATIN = str.maketrans(LATIN_LETTERS)
+
+
 @F.pandas_udf(T.StringType())
 def _plain_form(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def latin(text: str | None) -> str:
+        words = [w for w in re.split(r"[\W_]+", plain(one_form(text))) if w not in _UNNAMED]
+        return " ".join(words).translate(_TO_LATIN)
+
     for series in values:
         codes, distinct = pd.factorize(series)
-        done = pd.Series([plain(one_form(v)) for v in distinct] + [None], dtype=object)
+        done = pd.Series([latin(v) for v in distinct] + [None], dtype=object)
         yield done.iloc[codes].reset_index(drop=True)
 
 
 #: Letters that writers of a name take for one another, in order of replacement.
 SOUNDS = (("ph", "f"), ("th", "t"), ("ck", "k"), ("c(?!h)", "k"), ("q", "k"), ("w", "v"), ("y", "i"), ("ou|oo", "u"), (r"(.)\1+", "$1"))
+_UNNAMED = frozenset(PARTICLES + LEGAL_FORMS)
 
 
 def as_heard(word: Column) -> Column:
@@ -52,14 +68,14 @@ def as_heard(word: Column) -> Column:
 
 
 def plain_words(text: Column, drop: list[str]) -> Column:
-    """The words of ``text`` in plain letters as they sound, without single letters and those to ``drop``.
+    """The words of ``text`` in plain Latin letters as they sound, without those to ``drop``; [''] for none.
 
-    Usual abbreviations are written out.
+    Usual abbreviations are written out; single letters stay, as initials.
     """
     ascii_only = text.rlike(PLAIN_ASCII)
     low = F.when(ascii_only, F.lower(text)).otherwise(_plain_form(F.when(~ascii_only, text)))
     words = F.split(F.trim(F.regexp_replace(low, r"[^\p{L}\p{N}]+", " ")), " ")
-    kept = F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(drop))
+    kept = F.filter(words, lambda w: ~w.isin(drop))
     whole = F.create_map(*(F.lit(x) for pair in ABBREVIATIONS.items() for x in pair))
     return F.split(as_heard(F.array_join(F.transform(kept, lambda w: F.coalesce(whole[w], w)), " ")), " ")
 
@@ -75,13 +91,11 @@ def listed_codes(countries: DataFrame) -> DataFrame:
     return countries.select("record_id", code.alias("code")).filter(F.coalesce("code", F.lit("")) != "")
 
 
-def profiles(records: DataFrame, names: DataFrame, dates: DataFrame, codes: DataFrame) -> DataFrame:
-    """(id, official, entity, gender, main, words, years, codes) of every record with a name of two words.
+def name_bags(names: DataFrame) -> DataFrame:
+    """(record_id, id, primary, script, bag): the words of every name row, the original script as a row of its own.
 
-    ``main`` are the words of its fullest name row (the primary one if several are as full), ``words``
-    all words of all its rows, ``years`` the years of its dates of birth or registration. A row's words come
-    from its name parts, else the single string, else the entity name, else the original script; maiden
-    names give none. Repeated rows add nothing; missing dates, countries or gender are empty or null.
+    A row's words come from its name parts, else the single string, else the entity name; maiden names give none.
+    Organisations have no initials. Rows without words, and words without letters, are left out.
     """
     filled = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
     parts = F.concat_ws(" ", "first_name", "middle_name", "surname")
@@ -90,19 +104,36 @@ def profiles(records: DataFrame, names: DataFrame, dates: DataFrame, codes: Data
         F.when(filled("surname") | filled("middle_name"), parts),
         F.when(filled("single_string_name"), F.col("single_string_name")),
         F.when(filled("first_name") & ~filled("maiden_name"), F.col("first_name")),
-        F.when(filled("original_script_name"), F.col("original_script_name")),
     )
     rows = names.filter(F.col("record_id").isNotNull() & (F.coalesce("name_type", F.lit("")) != "Maiden Name"))
-    bags = rows.select(
+    written = F.array(F.struct(text.alias("text"), F.lit(False).alias("script")), F.struct(F.col("original_script_name").alias("text"), F.lit(True).alias("script")))
+    each = rows.select(
         "record_id",
         "id",
         (F.coalesce("name_type", F.lit("")) == "Primary Name").alias("primary"),
-        plain_words(text, PARTICLES + LEGAL_FORMS).alias("bag"),
-    ).filter(F.element_at("bag", 1) != "")
+        filled("entity_name").alias("of_entity"),
+        F.explode(written).alias("w"),
+    ).filter(F.coalesce("w.text", F.lit("")) != "")
+    words = plain_words(F.col("w.text"), PARTICLES + LEGAL_FORMS)
+    kept = F.filter("words", lambda w: (w != "") & (~F.col("of_entity") | (F.length(w) > 1)))
+    bags = each.select("record_id", "id", "primary", "of_entity", F.col("w.script").alias("script"), words.alias("words"))
+    return bags.select("record_id", "id", "primary", "script", kept.alias("bag")).filter(F.size("bag") > 0)
+
+
+def profiles(records: DataFrame, names: DataFrame, dates: DataFrame, codes: DataFrame) -> DataFrame:
+    """(id, official, entity, gender, main, words, bags, years, codes) of every record with a name.
+
+    ``main`` are the words of its fullest name row (one in Latin letters, and the primary one, if several are as
+    full), ``words`` those and all longer words of all its rows, ``bags`` its distinct rows, ``years`` the years of its dates of birth
+    or registration. See ``name_bags``. Repeated rows add nothing; missing dates, countries or gender are empty or null.
+    """
+    bags = name_bags(names)
     full = F.size(F.filter("bag", lambda w: F.length(w) > 2))
-    latin = F.array_join("bag", "").rlike("^[a-z0-9]+$")
-    main = F.max_by("bag", F.struct(latin, F.least(full, F.lit(8)), "primary", -F.col("id"))).alias("main")
-    named = bags.groupBy("record_id").agg(main, F.array_distinct(F.flatten(F.collect_set("bag"))).alias("words"))
+    native = ~F.col("script") & (full > 1)
+    main = F.max_by("bag", F.struct(native, F.least(full, F.lit(8)), ~F.col("script"), "primary", -F.col("id"))).alias("main")
+    rows = F.collect_set("bag").alias("bags")
+    everything = F.array_union("main", F.filter(F.flatten("bags"), lambda w: F.length(w) > 1))
+    named = bags.groupBy("record_id").agg(main, rows).withColumn("words", everything)
     born = (
         dates.filter(F.col("date_type").isin("Date of Birth", "Date of Registration"))
         .select("record_id", F.explode(_years(F.col("year"))).alias("y"))
@@ -120,27 +151,23 @@ def profiles(records: DataFrame, names: DataFrame, dates: DataFrame, codes: Data
     nothing = lambda c, t: F.coalesce(F.col(c), F.array().cast(f"array<{t}>")).alias(c)
     return (
         people.join(named.withColumnRenamed("record_id", "id"), "id")
-        .filter(F.size("main") > 1)
         .join(born.withColumnRenamed("record_id", "id"), "id", "left")
         .join(lands.withColumnRenamed("record_id", "id"), "id", "left")
-        .select("id", "official", "entity", "gender", "main", "words", nothing("years", "int"), nothing("codes", "string"))
+        .select("id", "official", "entity", "gender", "main", "words", "bags", nothing("years", "int"), nothing("codes", "string"))
     )
 
 
-def stem(word: Column) -> Column:
-    """``word`` without a familiar ending, three letters at least."""
-    return F.regexp_replace(word, f"(?<=.{{3}})({'|'.join(FAMILIAR)})$", "")
-
-
 _STEM = re.compile(f"(?<=.{{3}})({'|'.join(FAMILIAR)})$")
 
 
 @lru_cache(1 << 18)
 def word_likeness(a: str, b: str) -> float:
-    """How alike two words are: 1 equal, 0.8 a few letters off, 0.7 a familiar form or abbreviation, 0.5
-    if half of a short word is off, else 0."""
+    """How alike two words are: 1 equal, 0.8 a few letters off, 0.7 a familiar form or abbreviation, 0.6 an initial,
+    0.5 if half of a short word is off, else 0."""
     if a == b:
         return 1.0
+    if len(a) == 1 or len(b) == 1:
+        return 0.6 if a[0] == b[0] else 0.0
     short, long = sorted((len(a), len(b)))
     most = 0 if short < 4 else 1 if short < 6 else 2
     if most and banded_distance(a, b, most) <= most:
@@ -188,6 +215,7 @@ def agreement(a: dict, b: dict) -> float | None:
         return None
     alike = (sum(of_a) + sum(of_b)) / (len(of_a) + len(of_b) - left_a - left_b)
     weak = 0.5 in of_a or 0.5 in of_b
+    spelled = min(sum(x not in (0.0, 0.6) for x in of) for of in (of_a, of_b))
     years = bool(a["years"] and b["years"])
     lands = bool(a["codes"] and b["codes"])
     land = bool(set(a["codes"]) & set(b["codes"]))
@@ -201,6 +229,8 @@ def agreement(a: dict, b: dict) -> float | None:
         return None
     if hits == 2 and not (year or land) and alike < 0.9:
         return None
+    if spelled < 2 and (not spelled or against or left_a or left_b or not (year or land)):  # initials are all the rest
+        return None
     if hits == 2 and len(main_a) != len(main_b) and lands and not land:
         return None
     if weak and (a["entity"] or not (year or land) or hits == 2 and not (year and land)):
@@ -217,13 +247,8 @@ def no_contradiction(a: dict, b: dict) -> float | None:
     return None if a["entity"] != b["entity"] or all(strange) or a["entity"] and any(strange) else 1.0
 
 
-def agreed(pairs: DataFrame, people: DataFrame, judge: Callable[[dict, dict], float | None] = agreement) -> DataFrame:
-    """(a, b, agreement) of those ``pairs`` (a, b) of record ids whose profiles ``judge`` doesn't reject."""
-    shape = F.struct("entity", "gender", "main", "words", "years", "codes")
-    side = people.select("id", shape.alias("p"))
-    both = pairs.join(side.select(F.col("id").alias("a"), F.col("p").alias("pa")), "a").join(
-        side.select(F.col("id").alias("b"), F.col("p").alias("pb")), "b"
-    )
+def agreed(pairs: DataFrame, judge: Callable[[dict, dict], float | None] = agreement) -> DataFrame:
+    """(a, b, agreement) of those ``pairs`` (a, b, pa, pb: ids and profiles) that ``judge`` doesn't reject."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -233,4 +258,4 @@ def agreed(pairs: DataFrame, people: DataFrame, judge: Callable[[dict, dict], fl
             )
             yield out.filter(pc.is_valid(out.column(2)))
 
-    return both.select("a", "b", "pa", "pb").mapInArrow(run, "a bigint, b bigint, agreement double")
+    return pairs.select("a", "b", "pa", "pb").mapInArrow(run, "a bigint, b bigint, agreement double")
