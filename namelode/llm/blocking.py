@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Blocks of so few indexed rows meet as they are: saves rows, changes no result, as facts are complete.
-FEW = 64
+#: Blocks of so few indexed rows meet as they are: saves rows, changes no result, as marks are complete.
+FEW = 16
 
 
 def _digits(years: Column) -> Column:
@@ -17,40 +17,46 @@ def _around(years: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(years, lambda y: F.array(y - 1, y, y + 1))))
 
 
-def facts(years: Column, codes: Column, words: Column) -> tuple[Column, Column]:
-    """What two records that agree share besides a block, as marks of the left and of the right one.
+def facts(years: Column, codes: Column) -> tuple[Column, Column]:
+    """What two records of equal names share if they agree, as marks of the left and of the right one.
 
-    Complete for ``identity.agreement``: a year or the one before or behind, its digits in another order, a country, that
-    one of the two has no year and one of the two no country, or, where facts contradict each other, three like
-    words, of which two have the same beginning.
+    Complete for ``identity.agreement`` of names of two words: a year or the one before or behind, its digits in another
+    order, a country, or that one of the two has no year and one of the two no country.
     """
     mark = lambda m, values: F.transform(values, lambda v: F.concat(F.lit(m), v.cast("string")))
     missing = F.when(F.size(years) == 0, 1).otherwise(0) + F.when(F.size(codes) == 0, 2).otherwise(0)
     fits = F.filter(F.array(*(F.lit(s) for s in range(4))), lambda s: s.bitwiseOR(missing) == 3)
-    begun = F.array_sort(F.array_distinct(F.transform(words, lambda w: w.substr(1, 3))))
-    two = F.flatten(F.transform(begun, lambda x, i: F.transform(F.slice(begun, i + 2, F.size(begun)), lambda y: F.concat(x, F.lit("|"), y))))
-    shared = F.concat(mark("s", F.array_distinct(_digits(years))), mark("c", codes), mark("w", F.when(F.size(begun) > 2, two).otherwise(F.array().cast("array<string>"))))
+    shared = F.concat(mark("s", F.array_distinct(_digits(years))), mark("c", codes))
     return F.concat(mark("y", _around(years)), mark("m", fits), shared), F.concat(mark("y", years), mark("m", F.array(missing)), shared)
 
 
-def met(index: DataFrame, probes: DataFrame, people: DataFrame, fits: Column, few: int = FEW) -> DataFrame:
+def facts_or_words(years: Column, codes: Column, words: Column) -> tuple[Column, Column]:
+    """``facts``, or the beginnings of two of three or more words: names of three like words agree against a fact."""
+    begun = F.array_sort(F.array_distinct(F.transform(words, lambda w: w.substr(1, 3))))
+    two = F.flatten(F.transform(begun, lambda x, i: F.transform(F.slice(begun, i + 2, F.size(begun)), lambda y: F.concat(F.lit("w"), x, F.lit("|"), y))))
+    left, right = facts(years, codes)
+    two = F.when(F.size(begun) > 2, two).otherwise(F.array().cast("array<string>"))
+    return F.concat(left, two), F.concat(right, two)
+
+
+def met(index: DataFrame, probes: DataFrame, people: DataFrame, fits: Column, marks: tuple[Column, Column], few: int = FEW) -> DataFrame:
     """(a, b): ids ``a`` of ``index`` (a, h, ...) and ``b`` of ``probes`` (b, h, ...) with the same ``h`` that ``fits``.
 
-    Blocks of more than ``few`` indexed rows meet only where records also share a fact, so a block that holds a large
-    part of all rows is spread over years, countries and words; see ``facts``.
+    Blocks of more than ``few`` indexed rows meet only where records also share one of the ``marks`` of the left and right
+    row, expressions over the columns of a row and years, codes and main of its record. So a block that holds a large part of all
+    rows is spread.
     """
     held = index.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > few).select("h", F.lit(True).alias("many"))
     index, probes = index.join(held, "h", "left"), probes.join(held, "h", "left")
     usual = index.filter("many is null").drop("many").join(probes.filter("many is null").drop("many"), "h")
-    of_left, of_right = facts(F.col("years"), F.col("codes"), F.col("main"))
     known = people.select("id", "years", "codes", "main")
 
-    def spread(side: DataFrame, key: str, marks: Column) -> DataFrame:
+    def spread(side: DataFrame, key: str, of_side: Column) -> DataFrame:
         rows = side.filter("many").drop("many").join(known.withColumnRenamed("id", key), key)
-        rows = rows.withColumn("fact", F.explode(marks)).drop("years", "codes", "main")
-        return rows.withColumn("g", F.xxhash64("h", "fact")).drop("h", "fact")
+        rows = rows.withColumn("mark", F.explode(of_side)).drop("years", "codes", "main")
+        return rows.withColumn("g", F.xxhash64("h", "mark")).drop("h", "mark")
 
-    crowded = spread(index, "a", of_left).join(spread(probes, "b", of_right), "g")
+    crowded = spread(index, "a", marks[0]).join(spread(probes, "b", marks[1]), "g")
     return usual.filter(fits).select("a", "b").unionByName(crowded.filter(fits).select("a", "b")).distinct()
 
 
