@@ -20,14 +20,14 @@ def _around(years: Column) -> Column:
 def facts(years: Column, codes: Column) -> tuple[Column, Column]:
     """What two records of equal names share if they agree, as marks of the left and of the right one.
 
-    Complete for ``identity.agreement`` of names of two words: a year or the one before or behind, its digits in another
-    order, a country, or that one of the two has no year and one of the two no country.
+    Complete for ``identity.agreement`` of names of two words: the digits of a year, or of the one before or behind,
+    in any order, a country, or that one of the two has no year and one of the two no country.
     """
     mark = lambda m, values: F.transform(values, lambda v: F.concat(F.lit(m), v.cast("string")))
     missing = F.when(F.size(years) == 0, 1).otherwise(0) + F.when(F.size(codes) == 0, 2).otherwise(0)
     fits = F.filter(F.array(*(F.lit(s) for s in range(4))), lambda s: s.bitwiseOR(missing) == 3)
-    shared = F.concat(mark("s", F.array_distinct(_digits(years))), mark("c", codes))
-    return F.concat(mark("y", _around(years)), mark("m", fits), shared), F.concat(mark("y", years), mark("m", F.array(missing)), shared)
+    around, exact = (mark("y", F.array_distinct(_digits(y))) for y in (_around(years), years))
+    return F.concat(around, mark("m", fits), mark("c", codes)), F.concat(exact, mark("m", F.array(missing)), mark("c", codes))
 
 
 def facts_or_words(years: Column, codes: Column, words: Column) -> tuple[Column, Column]:
@@ -48,7 +48,7 @@ def met(index: DataFrame, probes: DataFrame, people: DataFrame, fits: Column, ma
     """
     held = index.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > few).select("h", F.lit(True).alias("many"))
     index, probes = index.join(held, "h", "left"), probes.join(held, "h", "left")
-    usual = index.filter("many is null").drop("many").join(probes.filter("many is null").drop("many"), "h")
+    usual = index.filter("many is null").drop("many").hint("shuffle_hash").join(probes.filter("many is null").drop("many"), "h")
     known = people.select("id", "years", "codes", "main")
 
     def spread(side: DataFrame, key: str, of_side: Column) -> DataFrame:
@@ -68,11 +68,16 @@ def profiled(pairs: DataFrame, people: DataFrame) -> DataFrame:
 
 
 def possible(pairs: DataFrame, people: DataFrame) -> DataFrame:
-    """``profiled`` ``pairs``, without those of another kind or that contradict each other.
+    """``profiled`` ``pairs``, without those that ``identity.agreement`` rejects for their facts alone.
 
-    They do if both have years and countries and share neither a year (or the next, or its digits) nor a country.
+    These are pairs of another kind, those whose years and countries both contradict each other, or one of them while
+    the other is unknown and a name has but two words, and those of another gender and no common year.
     """
-    year = (F.size("pa.years") == 0) | (F.size("pb.years") == 0) | F.arrays_overlap(_around(F.col("pa.years")), "pb.years")
-    year = year | F.arrays_overlap(_digits(F.col("pa.years")), _digits(F.col("pb.years")))
-    land = (F.size("pa.codes") == 0) | (F.size("pb.codes") == 0) | F.arrays_overlap("pa.codes", "pb.codes")
-    return profiled(pairs, people).filter((F.col("pa.entity") == F.col("pb.entity")) & (year | land))
+    year = F.arrays_overlap(_digits(_around(F.col("pa.years"))), _digits(F.col("pb.years")))
+    land = F.arrays_overlap("pa.codes", "pb.codes")
+    no_year = ~year & (F.size("pa.years") > 0) & (F.size("pb.years") > 0)
+    no_land = ~land & (F.size("pa.codes") > 0) & (F.size("pb.codes") > 0)
+    long = F.least(F.size("pa.main"), F.size("pb.main")) > 2
+    facts_fit = ~(no_year & no_land) & (year | land | ~(no_year | no_land) | long)
+    gender = F.coalesce((F.col("pa.gender") == F.col("pb.gender")) | (F.col("pa.gender") == "") | (F.col("pb.gender") == ""), F.lit(True)) | year
+    return profiled(pairs, people).filter((F.col("pa.entity") == F.col("pb.entity")) & facts_fit & gender)
