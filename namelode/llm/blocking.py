@@ -73,11 +73,12 @@ def possible(pairs: DataFrame, people: DataFrame) -> DataFrame:
     These are pairs of another kind, those whose years and countries both contradict each other, or one of them while
     the other is unknown and a name has but two words, and those of another gender and no common year.
     """
+    slim = people.select("id", F.struct("entity", "gender", "years", "codes", (F.size("main") > 2).alias("long")).alias("p"))
+    known = pairs.join(slim.select(F.col("id").alias("a"), F.col("p").alias("pa")), "a").join(slim.select(F.col("id").alias("b"), F.col("p").alias("pb")), "b")
     year = F.arrays_overlap(_digits(_around(F.col("pa.years"))), _digits(F.col("pb.years")))
     land = F.arrays_overlap("pa.codes", "pb.codes")
     no_year = ~year & (F.size("pa.years") > 0) & (F.size("pb.years") > 0)
     no_land = ~land & (F.size("pa.codes") > 0) & (F.size("pb.codes") > 0)
-    long = F.least(F.size("pa.main"), F.size("pb.main")) > 2
-    facts_fit = ~(no_year & no_land) & (year | land | ~(no_year | no_land) | long)
+    facts_fit = ~(no_year & no_land) & (year | land | ~(no_year | no_land) | (F.col("pa.long") & F.col("pb.long")))
     gender = F.coalesce((F.col("pa.gender") == F.col("pb.gender")) | (F.col("pa.gender") == "") | (F.col("pb.gender") == ""), F.lit(True)) | year
-    return profiled(pairs, people).filter((F.col("pa.entity") == F.col("pb.entity")) & facts_fit & gender)
+    return profiled(known.filter((F.col("pa.entity") == F.col("pb.entity")) & facts_fit & gender).select("a", "b"), people)

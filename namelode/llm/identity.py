@@ -160,7 +160,7 @@ def profiles(records: DataFrame, names: DataFrame, dates: DataFrame, codes: Data
 _STEM = re.compile(f"(?<=.{{3}})({'|'.join(FAMILIAR)})$")
 
 
-@lru_cache(1 << 18)
+@lru_cache(1 << 17)
 def word_likeness(a: str, b: str) -> float:
     """How alike two words are: 1 equal, 0.8 a few letters off, 0.7 a familiar form or abbreviation, 0.6 an initial,
     0.5 if half of a short word is off, else 0."""
@@ -170,7 +170,8 @@ def word_likeness(a: str, b: str) -> float:
         return 0.6 if a[0] == b[0] else 0.0
     short, long = sorted((len(a), len(b)))
     most = 0 if short < 4 else 1 if short < 6 else 2
-    if most and banded_distance(a, b, most) <= most:
+    unlike = len(set(a) ^ set(b)) > 2 * 2  # an edit changes two letters at most
+    if most and not unlike and banded_distance(a, b, most) <= most:
         return 0.8
     for particle in JOINED:
         if a == particle + b or b == particle + a:
@@ -180,7 +181,7 @@ def word_likeness(a: str, b: str) -> float:
         return 0.7
     if sa == sb or (sa != a or len(a) <= 4) and b.startswith(sa) or (sb != b or len(b) <= 4) and a.startswith(sb):
         return 0.7
-    if 3 < short < 6 and a[0] == b[0] and banded_distance(a, b, 2) <= 2:
+    if 3 < short < 6 and a[0] == b[0] and not unlike and banded_distance(a, b, 2) <= 2:
         return 0.5
     return 0.0
 
@@ -200,7 +201,7 @@ def agreement(a: dict, b: dict) -> float | None:
         return None
 
     def likeness(word: str, words: Iterable[str]) -> float:
-        return max((word_likeness(word, w) for w in words), default=0.0)
+        return 1.0 if word in words else max((word_likeness(word, w) for w in words), default=0.0)
 
     main_a, main_b = a["main"], b["main"]
     of_a = [likeness(w, b["words"]) for w in main_a]
