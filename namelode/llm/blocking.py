@@ -62,7 +62,7 @@ def met(index: DataFrame, probes: DataFrame, people: DataFrame, fits: Column, ma
 
 def profiled(pairs: DataFrame, people: DataFrame) -> DataFrame:
     """(a, b, pa, pb): ``pairs`` (a, b) of ids with the profiles of both."""
-    side = people.select("id", F.struct("entity", "gender", "main", "words", "bags", "years", "codes").alias("p"))
+    side = people.select("id", F.struct(*(c for c in people.columns if c not in ("id", "official", "bags"))).alias("p"))
     left = pairs.join(side.select(F.col("id").alias("a"), F.col("p").alias("pa")), "a")
     return left.join(side.select(F.col("id").alias("b"), F.col("p").alias("pb")), "b").select("a", "b", "pa", "pb")
 

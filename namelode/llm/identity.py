@@ -171,6 +171,8 @@ def word_likeness(a: str, b: str) -> float:
     short, long = sorted((len(a), len(b)))
     most = 0 if short < 4 else 1 if short < 6 else 2
     unlike = len(set(a) ^ set(b)) > 2 * 2  # an edit changes two letters at most
+    if unlike and a[:2] != b[:2] and not a.endswith(b) and not b.endswith(a):
+        return 0.0
     if most and not unlike and banded_distance(a, b, most) <= most:
         return 0.8
     for particle in JOINED:
@@ -204,10 +206,14 @@ def agreement(a: dict, b: dict) -> float | None:
         return 1.0 if word in words else max((word_likeness(word, w) for w in words), default=0.0)
 
     main_a, main_b = a["main"], b["main"]
-    of_a = [likeness(w, b["words"]) for w in main_a]
+    of_a, spare = [], max(0, len(main_a) - len(main_b))
+    for w in main_a:
+        of_a.append(likeness(w, b["words"]))
+        if of_a.count(0.0) > spare:
+            return None
     of_b = [likeness(w, a["words"]) for w in main_b]
     left_a, left_b = of_a.count(0.0), of_b.count(0.0)
-    if left_a > max(0, len(main_a) - len(main_b)) or left_b > max(0, len(main_b) - len(main_a)):
+    if left_b > max(0, len(main_b) - len(main_a)):
         return None
     if a["entity"] and (left_a or left_b):
         return None
@@ -252,7 +258,7 @@ def agreed(pairs: DataFrame, judge: Callable[[dict, dict], float | None] = agree
     """(a, b, agreement) of those ``pairs`` (a, b, pa, pb: ids and profiles) that ``judge`` doesn't reject."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, 2000) for whole in batches for at in range(0, len(whole), 2000)):
             strength = [judge(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             out = pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(strength, pa.float64())], ["a", "b", "agreement"]
