@@ -19,8 +19,10 @@ def latest_rows(snapshots: DataFrame, values: list[Column]) -> DataFrame:
     Of rows that agree in received_at the one with the greater hash holds, whatever order they are read
     in; a null received_at is the earliest. Rows with a null key are dropped, as they name no record.
     """
-    h1 = F.xxhash64("record_id", *values)
-    h2 = F.xxhash64(*values, F.lit("second"), "record_id")
+    # a hash skips nulls: each value is told with its length, a null as '-', so none can stand for another
+    content = F.concat(*(F.coalesce(F.concat(F.length(v), F.lit(":"), v), F.lit("-")) for v in values))
+    h1 = F.xxhash64("record_id", content)
+    h2 = F.xxhash64(content, F.lit("second"), "record_id")
     rank = F.struct(F.col("received_at"), h1.alias("h1"), h2.alias("h2"))
     held = (
         snapshots.filter(F.col("snapshot_no").isNotNull() & F.col("record_id").isNotNull())
@@ -63,17 +65,15 @@ def snapshot_changes(
     marked = rows.select(
         "snapshot_no",
         "record_id",
-        "h1",
+        F.struct("h1", "h2").alias("h"),
         (~digest(0).eqNullSafe(digest(-1))).alias("as_new"),
         (~digest(0).eqNullSafe(digest(1))).alias("as_old"),
     ).filter("as_new or as_old")
     # a row of an unmatched chunk meets the row of the snapshot before and that of the one after
-    no_hash = F.lit(None).cast("long")
+    no_hash = F.lit(None).cast("struct<h1: bigint, h2: bigint>")
     meets = F.array(
-        F.when(F.col("as_new"), F.struct(F.col("snapshot_no").alias("n"), F.col("h1").alias("new"), no_hash.alias("old"))),
-        F.when(
-            F.col("as_old"), F.struct((F.col("snapshot_no") + 1).alias("n"), no_hash.alias("new"), F.col("h1").alias("old"))
-        ),
+        F.when(F.col("as_new"), F.struct(F.col("snapshot_no").alias("n"), F.col("h").alias("new"), no_hash.alias("old"))),
+        F.when(F.col("as_old"), F.struct((F.col("snapshot_no") + 1).alias("n"), no_hash.alias("new"), F.col("h").alias("old"))),
     )
     both = (
         marked.select("record_id", F.explode(F.filter(meets, lambda m: m.isNotNull())).alias("m"))

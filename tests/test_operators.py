@@ -41,6 +41,16 @@ def test_country_index(spark):
     assert index["sa"] == index["saudiarabia"] == index["saudi"] == "SAUDI" and index["us"] == "USA" and index["x"] == "X" and "" not in index
 
 
+def test_values_that_move_between_columns_are_changes(spark):
+    kinds = "snapshot_no int, record_id bigint, active_status string, action string, action_date string, received_at timestamp"
+    at = day.datetime(2024, 1, 1)
+    pairs = {1: (("x", None, None), (None, "x", None)), 2: ((None, None, None), (None, "", None)), 3: (("a", "b", None), ("ab", None, None)),
+             4: (("a", None, None), ("a", None, "2024-01-02")), 5: (("A ", " b", None), ("a", "B", ""))}
+    rows = [(n + 1, k, *v, at) for k, both in pairs.items() for n, v in enumerate(both)]
+    got = {tuple(r) for r in snapshot_changes(spark.createDataFrame(rows, kinds)).collect()}
+    assert got == {(k, 2, "changed") for k in (1, 3, 4)}
+
+
 def test_boolean_text(spark):
     df = spark.createDataFrame([("noura alkahtani",), ("bin al",), ("a",)], "t string")
     out = [r[0] for r in df.select(retrieval.boolean_query(retrieval.term_groups(retrieval.search_tokens(F.col("t"))))).collect()]
