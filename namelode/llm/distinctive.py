@@ -11,6 +11,10 @@ from namelode.session import durable
 WORD = r"\p{L}{3,}"
 #: Records with more distinct words than this are modelled by aggregation instead of in one row.
 WIDE_RECORD = 20_000
+#: Rounds stop when the shares of a record move by less than this in all, or after so many.
+SETTLED, ROUNDS = 1e-5, 40
+#: Least probability that a word of a record comes from the record's own model, not the background, for it to set the record apart.
+SPECIFIC = 0.01
 
 
 def record_words(names: DataFrame, fields: tuple[str, ...] = ("first_name", "surname")) -> DataFrame:
@@ -29,8 +33,8 @@ def record_words(names: DataFrame, fields: tuple[str, ...] = ("first_name", "sur
     )
 
 
-def _converged(terms: Column, lam: float, rounds: int) -> Column:
-    """The record's model after ``rounds`` of expectation-maximisation over ``terms`` (tf, background)."""
+def _converged(terms: Column, lam: float, rounds: int, settled: float) -> Column:
+    """The record's model over ``terms`` (tf, background), by expectation-maximisation until it has ``settled``."""
     mass = F.aggregate(terms, F.lit(0.0), lambda a, t: a + t["tf"])
     start = F.transform(terms, lambda t: t["tf"] / mass)
 
@@ -42,12 +46,14 @@ def _converged(terms: Column, lam: float, rounds: int) -> Column:
             F.array(expected),
             lambda e: F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, b: a + b)),
         )
-        return F.element_at(boxed, 1)
+        moved = lambda q: F.aggregate(F.zip_with(q, p, lambda x, y: F.abs(x - y)), F.lit(0.0), lambda a, b: a + b)
+        return F.element_at(F.transform(boxed, lambda q: F.struct(q.alias("p"), moved(q).alias("moved"))), 1)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, lambda p, _: step(p))
+    begun = F.struct(start.alias("p"), F.lit(2.0).alias("moved"))
+    return F.aggregate(F.slice(F.sequence(F.lit(1), F.lit(rounds + 1)), 1, rounds), begun, lambda now, _: F.when(now["moved"] < settled, now).otherwise(step(now["p"])))["p"]
 
 
-def _converged_wide(words: DataFrame, lam: float, rounds: int) -> DataFrame:
+def _converged_wide(words: DataFrame, lam: float, rounds: int, settled: float) -> DataFrame:
     """The same for records of very many words, each round being two aggregations over salted parts."""
     salted = F.pmod(F.xxhash64("word"), F.lit(64))
 
@@ -62,21 +68,27 @@ def _converged_wide(words: DataFrame, lam: float, rounds: int) -> DataFrame:
         now = now.withColumn("e", F.col("tf") * seen / (seen + (1.0 - lam) * F.col("background")))
         sums = per_record(now, F.col("e"), "sum_e")
         # each round reads the one before twice: without cutting the lineage the plan would double
-        now = durable(now.join(sums, "record_id").withColumn("score", F.col("e") / F.col("sum_e")).drop("e", "sum_e"))
+        now = now.join(sums, "record_id").withColumn("before", F.col("score")).withColumn("score", F.col("e") / F.col("sum_e"))
+        now = durable(now.drop("e", "sum_e"))
+        moved = per_record(now, F.abs(F.col("score") - F.col("before")), "moved").agg(F.max("moved")).first()[0]
+        now = now.drop("before")
+        if moved is None or moved < settled:
+            break
     return now
 
 
 def score_words(
     names: DataFrame,
     lam: float = 0.1,
-    rounds: int = 12,
+    rounds: int = ROUNDS,
+    settled: float = SETTLED,
     fields: tuple[str, ...] = ("first_name", "surname"),
     one_in: int = 10_000,
 ) -> DataFrame:
-    """(record_id, word, tf, df, background, score) of every word of every record.
+    """(record_id, word, tf, df, background, score, specific) of every word of every record.
 
-    The background of a word is its share of all words of the collection, ``df`` the number of records
-    that hold it. ``score`` is the word's share of the record's own model: expectation-maximisation
+    The background of a word is its share of all (record, word) rows of the collection, ``df`` the number of records
+    that hold it. ``specific`` is the probability that the record's own model gave the word, and ``score`` is the word's share of the record's own model: expectation-maximisation
     gives the background what it explains, so words that are common everywhere lose their mass and what
     sets the record apart keeps it; the scores of a record sum to 1. Words that hold at least one in
     ``one_in`` of all (record, word) rows are at most ``one_in`` by counting and reach the rows by
@@ -85,12 +97,12 @@ def score_words(
     fields without words, give no rows; equal words score equally.
     """
     words = record_words(names, fields)
-    vocabulary = words.groupBy("word").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
-    total = vocabulary.agg(F.sum("cf").alias("all_tf"), F.sum("df").alias("all_df"))
+    vocabulary = words.groupBy("word").agg(F.count("*").alias("df"))
+    total = vocabulary.agg(F.sum("df").alias("all_df"))
     known = vocabulary.join(F.broadcast(total)).select(
         "word",
         "df",
-        (F.col("cf") / F.col("all_tf")).alias("background"),
+        (F.col("df") / F.col("all_df")).alias("background"),
         (F.col("df") * one_in >= F.col("all_df")).alias("hot"),
     )
     common = F.broadcast(known.filter("hot").drop("hot"))
@@ -111,24 +123,26 @@ def score_words(
     gathered = usual.groupBy("record_id").agg(
         F.collect_list(F.struct("word", "tf", "df", "background")).alias("terms")
     )
-    scored = gathered.withColumn("p", _converged(F.col("terms"), lam, rounds)).select(
+    scored = gathered.withColumn("p", _converged(F.col("terms"), lam, rounds, settled)).select(
         "record_id", F.explode(F.arrays_zip("terms", "p")).alias("t")
     )
     out = scored.select("record_id", "t.terms.word", "t.terms.tf", "t.terms.df", "t.terms.background", F.col("t.p").alias("score"))
     if wide_exists:
         wide = rows.join(sizes, "record_id", "left_semi")
-        out = out.unionByName(_converged_wide(wide, lam, rounds).select(*out.columns))
-    return out
+        out = out.unionByName(_converged_wide(wide, lam, rounds, settled).select(*out.columns))
+    own = lam * F.col("score")
+    return out.withColumn("specific", own / (own + (1.0 - lam) * F.col("background")))
 
 
-def shared_rare_words(scored: DataFrame, max_records: int = 3) -> DataFrame:
+def shared_rare_words(scored: DataFrame, max_records: int = 3, least: float = SPECIFIC) -> DataFrame:
     """(record_id_a, record_id_b): records that share a word which at most ``max_records`` records hold.
 
-    Takes the words to which a record's model gives a share (``score`` > 0: the model never takes all
-    mass from a word, so none of that rarity is lost) and then checks the number of holders exactly.
-    No word brings more than ``max_records`` rows together.
+    Candidates are the words that the converged models leave to their records, with a ``specific`` of ``least`` or more; of them the
+    number of holders is checked exactly. No such word is lost: a word of k of all N (record, word) rows converges to
+    1 - k (1 - lam) S / (lam tf N), where S is at most the number of words of the record, so it stays unless a single record has
+    nearly lam / (k (1 - lam)) of all N words (a 27th for three holders). No word brings more than ``max_records`` rows together.
     """
-    rare = scored.filter((F.col("score") > 0) & F.col("df").between(2, max_records))
+    rare = scored.filter((F.col("specific") >= least) & F.col("df").between(2, max_records))
     held = rare.groupBy("word").agg(F.array_sort(F.collect_set("record_id")).alias("ids"))
     a = held.select("ids", F.posexplode("ids").alias("at", "record_id_a"))
     return a.select(

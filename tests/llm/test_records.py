@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -98,17 +99,14 @@ def test_copies(spark):
 
 
 def brute_scores(words, lam, rounds):
-    total = sum(n for w in words.values() for n in w.values())
-    cf = {}
-    for w in words.values():
-        for t, n in w.items():
-            cf[t] = cf.get(t, 0) + n
+    df = Counter(t for w in words.values() for t in w)
+    total = sum(df.values())
     out = {}
     for r, w in words.items():
         mass = sum(w.values())
         p = {t: n / mass for t, n in w.items()}
         for _ in range(rounds):
-            e = {t: w[t] * lam * p[t] / (lam * p[t] + (1 - lam) * cf[t] / total) for t in w}
+            e = {t: w[t] * lam * p[t] / (lam * p[t] + (1 - lam) * df[t] / total) for t in w}
             p = {t: x / sum(e.values()) for t, x in e.items()}
         out |= {(r, t): x for t, x in p.items()}
     return out
@@ -122,7 +120,7 @@ def test_distinctive_words(spark, monkeypatch, wide):
     rows = [name(i, i % 15, " ".join(rng.choices(pool, k=rng.randint(0, 3))), None, rng.choice(pool + [None])) for i in range(60)] + [name(99, None, "giantak", None, "x")]
     names = spark.createDataFrame(rows, NAMES).withColumn("word", F.lit("clash")).withColumn("df", F.lit(1))
     rounds = 12 if wide > 100 else 3
-    scored = {(r["record_id"], r["word"]): r for r in distinctive.score_words(names, rounds=rounds).collect()}
+    scored = {(r["record_id"], r["word"]): r for r in distinctive.score_words(names, rounds=rounds, settled=0.0).collect()}
     words = {}
     for r in rows:
         for t in (r[4] or "").lower().split() + (r[6] or "").lower().split():
@@ -131,7 +129,7 @@ def test_distinctive_words(spark, monkeypatch, wide):
                 words[r[1]][t] += 1
     want = brute_scores(words, 0.1, rounds)
     assert scored.keys() == want.keys() and all(math.isclose(scored[k]["score"], want[k], rel_tol=1e-6, abs_tol=1e-12) for k in want)
-    pairs = {tuple(r) for r in distinctive.shared_rare_words(distinctive.score_words(names, rounds=rounds), 5).collect()}
+    pairs = {tuple(r) for r in distinctive.shared_rare_words(distinctive.score_words(names, lam=0.9), 5).collect()}
     holders = {}
     for r, w in words.items():
         for t in w:
@@ -140,6 +138,17 @@ def test_distinctive_words(spark, monkeypatch, wide):
     assert distinctive.score_words(names.limit(0)).count() == 0
 
 
+def test_the_model_chooses_rare_words(spark):
+    """Common words lose their mass where a record has rarer ones; without rounds none does. Every word of three holders stays."""
+    rng = random.Random(4)
+    rare = [f"rare{'abcdefghij'[i // 10]}{'abcdefghij'[i % 10]}" for i in range(100)]
+    names = spark.createDataFrame([name(i, i, "giantak", None, f"{rng.choice(rare)} khukem") for i in range(250)], NAMES)
+    kept = {n: distinctive.score_words(names, rounds=n).filter(F.col("specific") >= distinctive.SPECIFIC) for n in (0, distinctive.ROUNDS)}
+    common = {n: rows.filter("word in ('giantak', 'khukem')").count() for n, rows in kept.items()}
+    assert common == {0: 500, distinctive.ROUNDS: 0}
+    assert kept[distinctive.ROUNDS].filter("df <= 3").count() == kept[0].filter("df <= 3").count() > 0
+
+
 def test_set_similarity_join_loses_nothing(spark):
     rng = random.Random(5)
     left, right = (sorted({"".join(rng.choices("abcd", k=rng.randint(1, 6))) for _ in range(60)}) for _ in "lr")
