@@ -20,12 +20,18 @@ CYRILLIC_AS_LATIN = {"А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н"
                      "Х": "X", "У": "Y", "Ѕ": "S", "І": "I", "Ј": "J", "а": "a", "е": "e", "о": "o", "р": "p", "с": "c",
                      "х": "x", "у": "y", "ѕ": "s", "і": "i", "ј": "j", "ԁ": "d", "һ": "h", "ԛ": "q", "ԝ": "w", "ӏ": "l",
                      "к": "k", "м": "m", "н": "h", "т": "t", "в": "b", "Ԛ": "Q", "Ԝ": "W", "Ү": "Y", "ѵ": "v", "Ѵ": "V"}
-_LATIN_LIKE = GREEK_AS_LATIN | CYRILLIC_AS_LATIN
+ARMENIAN_AS_LATIN = {"օ": "o", "ս": "u", "հ": "h", "ո": "n", "ց": "g", "զ": "q", "յ": "j", "Օ": "O", "Տ": "S", "Լ": "L"}
+#: Letters of other alphabets in Arabic script that show, within a word, like an Arabic letter.
+PERSIAN_AS_ARABIC = {"ک": "ك", "ڪ": "ك", "ی": "ي", "ھ": "ه", "ہ": "ه", "ە": "ه"}
+#: Letters that only those alphabets have: a word with one of them is no Arabic word.
+NOT_ARABIC = "پچژگٹڈڑںے"
+_LATIN_LIKE = GREEK_AS_LATIN | CYRILLIC_AS_LATIN | ARMENIAN_AS_LATIN
 _CYRILLIC_LIKE = {v: k for k, v in CYRILLIC_AS_LATIN.items()} | {"i": "і", "I": "І", "s": "ѕ", "S": "Ѕ", "j": "ј", "J": "Ј"}
+_ARABIC_LIKE = str.maketrans(PERSIAN_AS_ARABIC)
 _GREEK_LIKE = {v: k for k, v in GREEK_AS_LATIN.items()}
 
 _SCRIPTS = {"latin": regex.compile(r"\p{Script=Latin}"), "cyrillic": regex.compile(r"\p{Script=Cyrillic}"),
-            "greek": regex.compile(r"\p{Script=Greek}")}
+            "greek": regex.compile(r"\p{Script=Greek}"), "armenian": regex.compile(r"\p{Script=Armenian}")}
 _IGNORABLE = regex.compile(r"\p{Default_Ignorable_Code_Point}")
 _BLANK = regex.compile(r"[\p{White_Space}⠀ㅤﾠ]")
 _WORDS = regex.compile(r"[\p{L}\p{M}]+")
@@ -42,8 +48,11 @@ def _one_script(word: str) -> str:
     """``word`` with the letters of a foreign script replaced that show like letters of its own.
 
     Its own script is the one of most of its letters, Latin in a tie; a word of one script, or one
-    with a foreign letter that shows like none of its own, keeps that letter.
+    with a foreign letter that shows like none of its own, keeps that letter. In a word of Arabic script the letters of other
+    alphabets that show like Arabic ones are such letters too, unless the word has one that no Arabic word has.
     """
+    if any(c in PERSIAN_AS_ARABIC for c in word):
+        return word if any(c in NOT_ARABIC for c in word) else word.translate(_ARABIC_LIKE)
     counts = _counts(word)
     if sum(n > 0 for n in counts.values()) < 2:
         return word
@@ -54,7 +63,7 @@ def _one_script(word: str) -> str:
         latin_only = [c for c in word if _SCRIPTS["latin"].match(c) and c not in _CYRILLIC_LIKE and c not in _GREEK_LIKE]
         if latin_only:
             own = "latin"
-    table = {"latin": _LATIN_LIKE, "cyrillic": _CYRILLIC_LIKE, "greek": _GREEK_LIKE}[own]
+    table = {"latin": _LATIN_LIKE, "cyrillic": _CYRILLIC_LIKE, "greek": _GREEK_LIKE}.get(own, {})
     return "".join(c if _SCRIPTS[own].match(c) else table.get(c, c) for c in word)
 
 

@@ -91,7 +91,7 @@ def test_truncation(spark):
 
 CASES = [("Rendοul", True, "rendoul"), ("Ｈｕｚ　T", True, "huz t"), ("K⁠hu", True, "khu"), ("a b", True, "a b"), ("ó", True, "ó"), ("ﬁn", True, "fin"),
          ("ﺎ", True, "ا"), ("GmbН", True, "gmbh"), ("Hегил", True, "негил"), ("é ñ ß", False, "é ñ ss"),
-         ("Иван Petrov", False, "иван petrov"), ("plain  Name\t", False, "plain name"), ("محـمد", False, "محـمد"), ("", False, ""), (None, False, None)]
+         ("Иван Petrov", False, "иван petrov"), ("plain  Name\t", False, "plain name"), ("محـمد", False, "محـمد"), ("الجوکورفید", True, "الجوكورفيد"), ("چاپیک", False, "چاپیک"), ("", False, ""), (None, False, None)]
 
 
 def test_lookalikes(spark):
