@@ -10,6 +10,7 @@ vocabulary, so the lookahead is bounded by its length. States and moves are made
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -34,10 +35,13 @@ class Transducer:
 
     def __init__(self, ranks: dict[bytes, int], max_states: int = 150_000, max_words: int = 200_000):
         self.ranks = ranks
-        self.open = {token[:n] for token in ranks for n in range(1, len(token))}
+        # of every beginning of a token: its rank or -1, and whether a longer token begins so
+        self.begun = {piece: (ranks.get(piece, -1), True) for piece in {token[:n] for token in ranks for n in range(1, len(token))}}
+        self.begun |= {token: (rank, False) for token, rank in ranks.items() if token not in self.begun}
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.max_states, self.max_words = max_states, max_words
         self.split = regex.compile(PATTERN).findall
+        self.halves: dict[int, tuple[int, int] | None] = {}
         self.beside = lru_cache(1 << 18)(self._beside)
         self.words: dict[str, list[int]] = {}
         self._reset()
@@ -70,26 +74,62 @@ class Transducer:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return [self.ranks[p] for p in parts]
 
+    def _halves(self, token: int) -> tuple[int, int] | None:
+        """The two tokens whose merge makes ``token``; None for a single byte, or if the merges don't make it."""
+        known = self.halves.get(token, ())
+        if known == ():
+            piece = self.bytes_of[token]
+            parts = [piece[i : i + 1] for i in range(len(piece))]
+            while len(parts) > 2:
+                rank, i = min((self.ranks.get(x + y, token), i) for i, (x, y) in enumerate(zip(parts, parts[1:])))
+                if rank >= token:
+                    break
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            known = self.halves[token] = (self.ranks[parts[0]], self.ranks[parts[1]]) if len(parts) == 2 else None
+        return known
+
     def _beside(self, left: int | None, right: int) -> bool:
-        """Whether the merges leave ``left`` and ``right`` as two tokens (``right`` as one at a start)."""
-        before = b"" if left is None else self.bytes_of[left]
-        return self.merged(before + self.bytes_of[right]) == ([right] if left is None else [left, right])
+        """Whether the merges leave ``left`` and ``right`` as two tokens (``right`` as one at a start).
+
+        They don't if, as both are put together from bytes, an earlier merge would join what stands at their border. From
+        the last merges backwards, the side merged later is taken apart; whatever joins two halves must come after the
+        merge that is taken back.
+        """
+        halves, bytes_of, get = self._halves, self.bytes_of, self.ranks.get
+        if left is None:
+            return len(bytes_of[right]) == 1 or halves(right) is not None
+        limit = 1 << 30
+        while True:
+            joined = get(bytes_of[left] + bytes_of[right])
+            if joined is not None and joined < limit:
+                return False
+            if left > right and (two := halves(left)) or not halves(right):
+                if not (two := halves(left)):
+                    return True
+                limit, left = left, two[1]
+            else:
+                limit, right = right + 1, halves(right)[0]
 
     def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         last, places = self.places[state]
-        step, now, kept = bytes([byte]), None, []
+        step, now, kept, begun = bytes([byte]), None, [], self.begun
         for pending, tokens in places:
             piece = pending + step
-            rank = self.ranks.get(piece)
-            if rank is not None and now is None and self.beside(tokens[-1] if tokens else last, rank):
-                now = (*tokens, rank)
-            if piece in self.open:
-                kept.append((piece, tokens))
+            known = begun.get(piece)
+            if known is not None:
+                rank, longer = known
+                if rank >= 0 and now is None and self.beside(tokens[-1] if tokens else last, rank):
+                    now = (*tokens, rank)
+                if longer:
+                    kept.append((piece, tokens))
         kept.append((b"", now))
-        shared = 0
-        while all(len(t) > shared and t[shared] == kept[0][1][shared] for _, t in kept):
-            shared += 1
-        sure = kept[0][1][:shared]
+        if len(kept) == 1:
+            return self._state((now[-1], ((b"", ()),))), now
+        shared, first = 0, kept[0][1]
+        if first and now[0] == first[0]:
+            while all(len(t) > shared and t[shared] == first[shared] for _, t in kept):
+                shared += 1
+        sure = first[:shared]
         key = (sure[-1] if sure else last, tuple((p, t[shared:]) for p, t in kept))
         return self._state(key), sure
 
@@ -203,11 +243,15 @@ def encode_corpus(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _transducer(shared.value).encode
-        for batch in batches:
-            for start in range(0, batch.num_rows, 1000):
-                part = batch.slice(start, 1000)
-                lists = [encode(x) for x in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), _id_lists(lists)], [key, "ids"])
+        gc.disable()  # states and moves hold no cycles, but so many tuples that looking for some takes half of the time
+        try:
+            for batch in batches:
+                for start in range(0, batch.num_rows, 1000):
+                    part = batch.slice(start, 1000)
+                    lists = [encode(x) for x in part.column(1).to_pylist()]
+                    yield pa.RecordBatch.from_arrays([part.column(0), _id_lists(lists)], [key, "ids"])
+        finally:
+            gc.enable()
 
     source = docs.select(key, text)
     kind = source.schema[0].dataType.simpleString()
