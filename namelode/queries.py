@@ -11,9 +11,10 @@ from namelode.functions import countries as ct
 from namelode.functions import dates as dt
 from namelode.functions import names as nm
 from namelode.functions import scoring as sc
+from namelode.functions.lexicon import ARABIC_LATIN
 from namelode.operators import cdc, custom_lists, factors, history, records, retrieval, snapshots, weights
 from namelode.plans import screen as plan
-from namelode.session import table
+from namelode.session import nullif_empty, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -324,57 +325,173 @@ _FOLD = "translate(lower(translate({0}, 'Σİ', 'σi')), 'آأإٱىئةؤ', 'ا
 _NORMAL = (
     "trim(regexp_replace(regexp_replace(regexp_replace(" + _FOLD + r", '[ً-ٰٕـء]', '', 'g'), '[^\p{{L}}\p{{Nd}}\s\p{{Z}}]', '', 'g'), '[\s\p{{Z}}]+', ' ', 'g'))"
 )
-_PLAIN_TEXTS = """(select id, trim({0}) as name from sanctions_names where {0} is not null and regexp_matches({0}, '^[\\x20-\\x7E]*$')
-  and not regexp_matches(lower({0}), '\\b(abd|abdul|abdel|abdal)\\b'))"""
+def _joined(normal: str) -> str:
+    """SQL for a normalised text with its compounds joined: a first half takes the next word, over an article if one more follows."""
+    first, article = "(عبد|abd|abdul|abdel|abdal)", "(ال|al|el)"
+    three = f"regexp_replace(' ' || ({normal}) || ' ', ' {first} {article} ([^ ]+)', ' \\1\\2\\3', 'g')"
+    return f"trim(regexp_replace({three}, ' {first} ([^ ]+)', ' \\1\\2', 'g'))"
 
 
-@query("select id, " + _NORMAL.format("surname") + " as normalized from sanctions_names where surname is not null and not regexp_matches(lower(surname), '\\b(abd|abdul|abdel|abdal)\\b')")
+@query("select id, " + _joined(_NORMAL.format("surname")) + " as normalized from sanctions_names where surname is not null")
 def normalized_surnames(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "sanctions_names").filter("surname is not null").filter(~F.lower("surname").rlike(r"\b(abd|abdul|abdel|abdal)\b"))
-    return rows.select("id", nm.normalize(F.col("surname")).alias("normalized"))
+    return table(spark, d, "sanctions_names").filter("surname is not null").select("id", nm.normalize(F.col("surname")).alias("normalized"))
 
 
-@query()
+def _latin(text: str) -> str:
+    """SQL for Arabic text in Latin letters: each letter by the table, then an 'a' between consonants but for digraphs and behind a vowel."""
+    one = {k: v for k, v in ARABIC_LATIN.items() if len(v) == 1}
+    out = rf"regexp_replace({text}, '[\x{{064B}}-\x{{065F}}]', '', 'g')"
+    for letter, latin in ARABIC_LATIN.items():
+        if len(latin) != 1:
+            out = f"replace({out}, '{letter}', '{latin}')"
+    out = f"translate({out}, '{''.join(one)}', '{''.join(one.values())}')"
+    out = rf"trim(regexp_replace(regexp_replace({out}, '[\s\p{{Z}}]', ' ', 'g'), '[^\p{{L}}\p{{Nd}} ]', '', 'g'))"
+    consonant = r"regexp_matches({0}, '^\p{{L}}$') and {0} not in ('a', 'e', 'i', 'o', 'u')"
+    spaced = f"""{consonant.format("x[1]")} and {consonant.format("x[2]")} and not (x[1] in ('k', 's', 't', 'd', 'g') and x[2] = 'h')
+      and coalesce(acc[-1], '') not in ('a', 'e', 'i', 'o', 'u')"""
+    letters = "list_transform(range(1, length(w) + 1), lambda i: [w[i], coalesce(nullif(w[i + 1:i + 1], ''), ' ')])"
+    return f"""list_transform([{out}], lambda w: array_to_string(list_reduce({letters},
+      lambda acc, x: list_concat(acc, case when {spaced} then [x[1], 'a'] else [x[1]] end), cast([] as varchar[])), ''))[1]"""
+
+
+_ARABIC = r"regexp_matches(original_script_name, '[\x{0600}-\x{06FF}]')"
+
+
+@query(f"select id, {_latin('original_script_name')} as latin from sanctions_names where {_ARABIC}")
 def transliterated_names(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "sanctions_names").filter(nm.is_arabic(F.col("original_script_name")))
     return rows.select("id", nm.transliterate(F.col("original_script_name")).alias("latin"))
 
 
-_SURNAME_TOKENS = r"""(select distinct unnest(regexp_extract_all(lower(surname), '[a-z]+')) t from sanctions_names where regexp_matches(surname, '^[\x00-\x7F]*$'))"""
+_SURNAME_TOKENS = f"""(select distinct unnest(string_split({_joined(_NORMAL.format("surname"))}, ' ')) t from sanctions_names where surname is not null)"""
+_BARE = "case when length({0}) >= 5 and {0}[1:2] in ('ال', 'al', 'el') then {0}[3:] else {0} end"
+_BONES = r"""case when regexp_matches({0}, '^[\x00-\x7F]*$') then array_to_string(list_filter(list_filter(string_split({0}, ''), lambda c: c not in ('a', 'e', 'i', 'o', 'u', 'y')),
+    lambda c, i: i = 1 or c <> list_filter(string_split({0}, ''), lambda c: c not in ('a', 'e', 'i', 'o', 'u', 'y'))[i - 1]), '') else '' end"""
+
+
+def _distance(a: str, b: str) -> str:
+    """SQL for the edit distance of characters, where the built-in one counts bytes: row by row of the usual table."""
+    above = f"case when j = 1 then row[1] + 1 else least(row[j] + 1, row[j - 1] + case when ord({b}[j - 1]) = x[1] then 0 else 1 end) end - j"
+    after = f"list_transform([list_transform(range(1, len(row) + 1), lambda j: {above})], lambda t: list_transform(range(1, len(row) + 1), lambda j: list_min(t[1:j]) + j))[1]"
+    letters = f"list_transform(range(1, length({a}) + 1), lambda i: [cast(ord({a}[i]) as bigint)])"
+    slow = f"list_reduce({letters}, lambda row, x: {after}, range(0, length({b}) + 1))[-1]"
+    return rf"case when regexp_matches({a} || {b}, '^[\x00-\x7F]*$') then levenshtein({a}, {b}) else {slow} end"
+
+
+def _similar(pairs: str) -> str:
+    """SQL of ``sims``: (a, b, s), the similarity of the normalised words of ``pairs`` (a, b)."""
+    return f"""sw as (select distinct t, {_BARE.format("t")} bare from (select a t from {pairs} union select b from {pairs})),
+sb as (select t, bare, {_BONES.format("bare")} bones from sw),
+sp as (select p.a, p.b, x.bare ba, y.bare bb, x.bones sa, y.bones so, greatest(length(x.bare), length(y.bare)) l from (select distinct a, b from {pairs}) p
+  join sb x on x.t = p.a join sb y on y.t = p.b),
+sd as (select *, {_distance("ba", "bb")} dist from sp),
+sq as (select *, (l - dist) * 100 // l s0, case when l <= 2 then 0 when l <= 7 then 1 when l <= 11 then 2 else 3 end budget from sd),
+sims as (select a, b, cast(case when ba = bb then 100 when dist <= budget and s0 >= 85 then s0 when length(sa) >= 3 and sa = so then greatest(s0, 85)
+  when dist > budget or s0 < 65 then 0 else s0 end as bigint) s from sq)"""
 
 
 def _surname_tokens(spark: SparkSession, d: str) -> DataFrame:
-    words = F.explode(F.regexp_extract_all(F.lower("surname"), F.lit("[a-z]+"), 0))
-    return table(spark, d, "sanctions_names").filter(F.col("surname").rlike(r"^[\x00-\x7F]*$")).select(words.alias("t")).distinct()
+    rows = table(spark, d, "sanctions_names").filter("surname is not null")
+    return rows.select(F.explode(F.split(nm.normalize(F.col("surname")), " ")).alias("t")).distinct()
 
 
-@query(
-    f"""with t as {_SURNAME_TOKENS},
-b as (select t, case when length(t) >= 5 and t[1:2] in ('al', 'el') then t[3:] else t end bare from t),
-s as (select t, bare, list_filter(string_split(bare, ''), lambda c: c not in ('a', 'e', 'i', 'o', 'u', 'y')) v from b)
-select t, bare, array_to_string(list_filter(v, lambda c, i: i = 1 or c <> v[i - 1]), '') as bones from s"""
-)
+@query(f"""with t as {_SURNAME_TOKENS}, b as (select t, {_BARE.format("t")} bare from t) select t, bare, {_BONES.format("bare")} as bones from b""")
 def token_forms(spark: SparkSession, d: str) -> DataFrame:
     bare = nm.strip_article(F.col("t"))
     return _surname_tokens(spark, d).select("t", bare.alias("bare"), nm.skeleton(bare).alias("bones"))
 
 
+#: A name row's own text, as the screening shows it; the original script where there is nothing else.
+_OWN_TEXT = f"coalesce(nullif({_DISPLAY}, ''), original_script_name)"
+_ROW_PAIRS = f"""nr as (select record_id, id, {_OWN_TEXT} txt from sanctions_names where record_id is not null),
+rp as (select a.id qid, b.id cid, a.txt qtxt, b.txt ctxt from nr a join nr b on a.record_id = b.record_id and a.id < b.id),
+nf as (select distinct txt, {_joined(_NORMAL.format("txt"))} n from nr where txt is not null),
+nt as (select txt, n, list_filter(string_split(n, ' '), lambda t: t <> '') toks from nf)"""
+
+
+def _row_pairs(spark: SparkSession, d: str, entity: bool) -> DataFrame:
+    """(qid, cid, q, c): every two name rows of a record, with the form of each."""
+    text = F.coalesce(nullif_empty(records.display_name()), F.col("original_script_name"))
+    rows = table(spark, d, "sanctions_names").filter("record_id is not null").select("record_id", "id", sc.name_form(text, entity).alias("f"))
+    other = rows.select("record_id", F.col("id").alias("cid"), F.col("f").alias("c"))
+    return rows.select("record_id", F.col("id").alias("qid"), F.col("f").alias("q")).join(other, "record_id").filter("qid < cid")
+
+
+def _listed(words: tuple[str, ...]) -> str:
+    return "(" + ", ".join(f"'{w}'" for w in words) + ")"
+
+
+def _best_of(side: str, other: str, name: str) -> str:
+    """SQL of the mean (f) of the best similarity of each word of ``side`` among those of ``other``, by pair."""
+    words = lambda x, alias: f"(select qid, cid, unnest({x}) {alias}, unnest(range(1, len({x}) + 1)) {alias}i from tp)"
+    return f"""{name}_w as (select x.qid, x.cid, x.wi, max(coalesce(s.s, 0)) best from {words(side, "w")} x left join {words(other, "v")} y
+  on x.qid = y.qid and x.cid = y.cid left join sims s on s.a = x.w and s.b = y.v group by all),
+{name} as (select qid, cid, cast(sum(best) as bigint) // count(*) f from {name}_w group by all)"""
+
+
+_TOKEN_PAIRS = """wp as (select distinct a, b from (select unnest(qs) a, cs from tp), unnest(cs) u(b)),
+both_ways as (select a, b from wp union select b, a from wp)"""
+_FULL = f"""full_l as (select qid, cid, qn, cn, case when greatest(length(qn), length(cn)) = 0 then 100
+    else (greatest(length(qn), length(cn)) - {_distance("qn", "cn")}) * 100 // greatest(length(qn), length(cn)) end whole from tp)"""
+_GUARD = "case when coalesce(qn, '') = '' or coalesce(cn, '') = '' then 0 when qn = cn then 100 else {0} end"
+
+
+@query(
+    f"""with {_ROW_PAIRS},
+fs as (select txt, n, toks, list_filter(toks, lambda t: length(t) >= 2) short from nt),
+fk as (select *, case when len(list_filter(short, lambda t: t not in {_listed(nm.CONNECTORS)})) < 2 then short
+  else list_filter(short, lambda t: t not in {_listed(nm.CONNECTORS)}) end kept from fs),
+tp as (select qid, cid, q.n qn, c.n cn, case when len(q.short) = 0 or len(c.short) = 0 then q.toks else q.kept end qs,
+  case when len(q.short) = 0 or len(c.short) = 0 then c.toks else c.kept end cs from rp left join fk q on q.txt = qtxt left join fk c on c.txt = ctxt),
+{_TOKEN_PAIRS}, {_similar("both_ways")}, {_best_of("qs", "cs", "fwd")}, {_best_of("cs", "qs", "rev")}, {_FULL},
+gq as (select qid, cid, max(coalesce(s.s, 0)) filter (x.wi = 1) given, max(coalesce(s.s, 0)) filter (x.wi = x.k) family
+  from (select qid, cid, unnest(qs) w, unnest(range(1, len(qs) + 1)) wi, len(qs) k, cs from tp) x, unnest(x.cs) y(v) left join sims s on s.a = x.w and s.b = y.v group by all),
+b0 as (select tp.*, coalesce(fwd.f, 0) f, coalesce(rev.f, 0) r, whole, len(qs) nq, len(cs) nc, coalesce(given, 0) given, coalesce(family, 0) family
+  from tp join full_l using (qid, cid) left join fwd using (qid, cid) left join rev using (qid, cid) left join gq using (qid, cid)),
+b1 as (select *, (least(f, r) * 70 + whole * 20 + case when greatest(nq, nc) > 0 then least(nq, nc) * 100 // greatest(nq, nc) end * 10) // 100 base, case when nc > 0 then nq * 100 // nc end cov from b0),
+b2 as (select *, case when nq >= 2 and nq < nc and f >= 90 and cov >= 40
+  then greatest(base, least(f - (100 - cov) // 2, base + case when nq >= 4 then 18 else 12 end)) else base end up from b1),
+b3 as (select *, case when nq >= 2 and length(qs[1]) >= 3 and given < 72 then up * 60 // 100 else up end g1 from b2),
+b4 as (select *, case when nq >= 2 and length(qs[nq]) >= 3 and family < 80 then g1 * 55 // 100 else g1 end g2 from b3)
+select qid, cid, cast({_GUARD.format("least(g2, 100)")} as bigint) as score from b4"""
+)
+def name_scores(spark: SparkSession, d: str) -> DataFrame:
+    rows = _row_pairs(spark, d, False)
+    return rows.select("qid", "cid", sc.score_name_forms(F.col("q"), F.col("c")).alias("score"))
+
+
+@query(
+    f"""with {_ROW_PAIRS},
+fs as (select txt, n, toks, list_filter(toks, lambda t: t not in {_listed(nm.ENTITY_NOISE)}) core0 from nt),
+fk as (select txt, n, case when len(core0) = 0 then toks else core0 end core, case when len(core0) = 0 then [] else list_filter(toks, lambda t: t in {_listed(nm.ENTITY_NOISE)}) end noise from fs),
+p0 as (select qid, cid, q.n qn, c.n cn, q.core qcore, c.core ccore, q.noise qnoise, c.noise cnoise from rp left join fk q on q.txt = qtxt left join fk c on c.txt = ctxt),
+tp as (select qid, cid, qn, cn, list_concat(qcore, qnoise) qs, list_concat(ccore, cnoise) cs, qcore, ccore, qnoise, cnoise from p0),
+{_TOKEN_PAIRS}, {_similar("both_ways")}, {_best_of("qcore", "ccore", "fwd")}, {_best_of("ccore", "qcore", "rev")}, {_best_of("qnoise", "cnoise", "nse")}, {_FULL},
+b0 as (select tp.*, coalesce(fwd.f, 0) f, coalesce(rev.f, 0) r, coalesce(nse.f, 0) m, whole, len(qcore) nq, len(ccore) nc, len(qnoise) > 0 and len(cnoise) > 0 noisy
+  from tp join full_l using (qid, cid) left join fwd using (qid, cid) left join rev using (qid, cid) left join nse using (qid, cid)),
+b1 as (select *, (least(f, r) * 65 + whole * 20 + case when greatest(nq, nc) > 0 then least(nq, nc) * 100 // greatest(nq, nc) end * 15) // 100 + case when noisy then m // 10 else 0 end total from b0)
+select qid, cid, cast({_GUARD.format("least(total, 100)")} as bigint) as score from b1"""
+)
+def entity_scores(spark: SparkSession, d: str) -> DataFrame:
+    rows = _row_pairs(spark, d, True)
+    return rows.select("qid", "cid", sc.score_entity_forms(F.col("q"), F.col("c")).alias("score"))
+
+
+@query()
+def chain_scores(spark: SparkSession, d: str) -> DataFrame:
+    rows = _row_pairs(spark, d, False)
+    return rows.select("qid", "cid", sc.score_name_v2_forms(F.col("q"), F.col("c")).alias("score"))
+
+
 @query(
-    f"""with t as {_SURNAME_TOKENS},
-b as (select t, case when length(t) >= 5 and t[1:2] in ('al', 'el') then t[3:] else t end bare from t),
-s as (select *, list_filter(string_split(bare, ''), lambda c: c not in ('a', 'e', 'i', 'o', 'u', 'y')) v from b),
-w as (select t, bare, array_to_string(list_filter(v, lambda c, i: i = 1 or c <> v[i - 1]), '') bones from s),
-p as (select x.t a, y.t b, x.bare ba, y.bare bb, x.bones sa, y.bones sb, greatest(length(x.bare), length(y.bare)) l, levenshtein(x.bare, y.bare) dist
-  from w x join w y on x.t[1:4] = y.t[1:4] and x.t < y.t),
-q as (select *, (l - dist) * 100 // l s, case when l <= 2 then 0 when l <= 7 then 1 when l <= 11 then 2 else 3 end budget from p)
-select a, b, cast(case when ba = bb then 100 when dist <= budget and s >= 85 then s
-  when length(sa) >= 3 and sa = sb then greatest(s, 85) when dist > budget or s < 65 then 0 else s end as bigint) as similarity from q"""
+    f"""with {_ROW_PAIRS}, tp as (select qid, cid, q.toks qs, c.toks cs from rp left join nt q on q.txt = qtxt left join nt c on c.txt = ctxt),
+{_TOKEN_PAIRS}, {_similar("both_ways")} select a, b, s as similarity from sims"""
 )
 def token_similarities(spark: SparkSession, d: str) -> DataFrame:
-    one = _surname_tokens(spark, d).withColumn("p", F.substring("t", 1, 4)).withColumn("x", sc.prepared(F.array("t"))[0])
-    two = one.select("p", F.col("t").alias("b"), F.col("x").alias("y"))
-    pairs = one.withColumnRenamed("t", "a").join(two, "p").filter("a < b")
-    return pairs.select("a", "b", sc.prepared_similarity(F.col("x"), F.col("y")).alias("similarity"))
+    words = lambda c: F.explode(F.transform(F.col(f"{c}.all"), lambda t: t["t"]))
+    pairs = _row_pairs(spark, d, False).select("c", words("q").alias("a")).select("a", words("c").alias("b")).distinct()
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    return both.select("a", "b", sc.token_similarity(F.col("a"), F.col("b")).alias("similarity"))
 
 
 def _active_tokens(spark: SparkSession, d: str) -> DataFrame:
@@ -387,14 +504,14 @@ def token_weights(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    r"""with w as (select distinct doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) token from documents where lang = 'en'),
+    r"""with w as (select distinct doc_id, unnest(regexp_extract_all(lower(text), '\p{L}{3,}')) token from documents),
 n as (select count(distinct doc_id) n from w), f as (select token, count(*) df from w group by 1)
 select token, df, cast(case when df * 10000 >= n * 500 then 20 when df * 10000 >= n * 200 then 35 when df * 10000 >= n * 50 then 55
   when df * 10000 >= n * 10 then 80 else 100 end as bigint) as weight from f, n"""
 )
 def document_token_weights(spark: SparkSession, d: str) -> DataFrame:
-    words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), 0))
-    rows = table(spark, d, "documents").filter("lang = 'en'").select(F.col("doc_id").alias("record_id"), words.alias("token"))
+    words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{3,}"), 0))
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("record_id"), words.alias("token"))
     return weights.weights(rows.distinct())
 
 
@@ -415,16 +532,16 @@ def boolean_queries(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", retrieval.boolean_query(groups).alias("query"))
 
 
-@query(
-    """with v as (select id name_id, record_id, unnest([entity_name, concat_ws(' ', nullif(first_name, ''), nullif(middle_name, ''), nullif(surname, '')),
-    single_string_name]) t, unnest(range(0, 3)) o from sanctions_names where original_script_name is null or original_script_name = ''),
-c as (select name_id, record_id, regexp_replace(coalesce(t, ''), '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g') n, o from v),
-k as (select * from c where n <> '' qualify row_number() over (partition by name_id, lower(n) order by o) = 1)
-select name_id, record_id, cast(row_number() over (partition by name_id order by o) - 1 as int) as ord, n as name from k"""
-)
+_FORMS = rf"""fv as (select id name_id, record_id, unnest([entity_name, concat_ws(' ', nullif(first_name, ''), nullif(middle_name, ''), nullif(surname, '')),
+    single_string_name, original_script_name, case when {_ARABIC} then {_latin('original_script_name')} end]) t, unnest(range(0, 5)) o from sanctions_names),
+fc as (select name_id, record_id, regexp_replace(coalesce(t, ''), '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g') n, o from fv),
+forms as (select name_id, record_id, n, cast(row_number() over (partition by name_id order by o) - 1 as int) ord
+  from (select * from fc where n <> '' qualify row_number() over (partition by name_id, lower(n) order by o) = 1))"""
+
+
+@query(f"with {_FORMS} select name_id, record_id, ord, n as name from forms")
 def name_forms(spark: SparkSession, d: str) -> DataFrame:
-    names = table(spark, d, "sanctions_names").filter("coalesce(original_script_name, '') = ''")
-    return retrieval.variants(names)
+    return retrieval.variants(table(spark, d, "sanctions_names"))
 
 
 #: Searched names, in several writings of the invented names that the tables hold.
