@@ -477,7 +477,40 @@ def entity_scores(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("qid", "cid", sc.score_entity_forms(F.col("q"), F.col("c")).alias("score"))
 
 
-@query()
+_CONTENT = f"""fs as (select txt, n, toks, list_filter(toks, lambda t: length(t) >= 2) short from nt),
+fk as (select txt, n, case when len(short) = 0 then toks when len(list_filter(short, lambda t: t not in {_listed(nm.CONNECTORS)})) < 2 then short
+  else list_filter(short, lambda t: t not in {_listed(nm.CONNECTORS)}) end content from fs),
+tp as (select qid, cid, q.n qn, c.n cn, q.content qs, c.content cs from rp left join fk q on q.txt = qtxt left join fk c on c.txt = ctxt)"""
+#: Of each pair the matrix of similarities; each word of one name takes the free word of the other that it is most like; the longest run in order.
+_CHAINED = """mr as (select x.qid, x.cid, wi, list(coalesce(s, 0) order by vi) r from (select qid, cid, unnest(qs) w, unnest(range(1, len(qs) + 1)) wi from tp) x
+  join (select qid, cid, unnest(cs) v, unnest(range(1, len(cs) + 1)) vi from tp) y on x.qid = y.qid and x.cid = y.cid left join sims s on s.a = w and s.b = v group by all),
+mm as (select qid, cid, list(r order by wi) m from mr group by all),
+tk as (select *, list_reduce(m, lambda acc, r: list_transform([list_max(list_transform(list_filter(range(1, len(r) + 1), lambda j: not list_contains(acc, j)), lambda j: r[j] * 1000 - j))],
+  lambda v: case when (v + 999) // 1000 >= 72 then list_append(acc, (v + 999) // 1000 * 1000 - v) else acc end)[1], cast([] as bigint[])) places from mm),
+lr as (select *, list_reduce(list_transform(places, lambda p: [p]), lambda acc, x: list_append(acc, x[1] * 1000 + 1
+  + coalesce(list_max(list_transform(list_filter(acc, lambda e: e // 1000 < x[1]), lambda e: e % 1000)), 0)), cast([] as bigint[])) runs from tk),
+ch as (select qid, cid, m, len(m) nq, len(m[1]) nc, coalesce(list_max(list_transform(runs, lambda e: e % 1000)), 0) * 100 // greatest(len(m), len(m[1])) ordered from lr),
+ca as (select *, case when nq >= 3 and nc >= 3 then (m[1][1] * 35 + m[2][2] * 20 + m[nq][nc] * 30 + ordered * 15) // 100 else (m[1][1] * 45 + m[nq][nc] * 35 + ordered * 20) // 100 end chain,
+  nq >= 3 and nc >= 3 and m[1][1] < 72 and list_max(m[1][2:]) >= 72 and list_max(list_transform(m[2:], lambda r: r[1])) >= 72 swapped,
+  list_transform(m, lambda r: list_max(r)) bq, list_transform(range(1, len(m[1]) + 1), lambda j: list_max(list_transform(m, lambda r: r[j]))) bc from ch)"""
+
+
+def _chain_sql(weight: str, more: str = "") -> str:
+    """SQL of the second scorer, with the weight of a word ``t``."""
+    weighed = lambda c: f"list_transform({c}, lambda t: {weight})"
+    share = lambda w, b: f"list_sum(list_transform({w}, lambda x, i: x * {b}[i])) // list_sum({w})"
+    return f"""with {_ROW_PAIRS}, {_CONTENT}, {_TOKEN_PAIRS}, {_similar("both_ways")}, {_FULL}, {_CHAINED}{more},
+wt as (select tp.*, whole, ca.* exclude (qid, cid), {weighed("qs")} wq, {weighed("cs")} wc from tp join full_l using (qid, cid) left join ca using (qid, cid){", heavy" if more else ""}),
+b0 as (select *, cast({share("wq", "bq")} as bigint) f, cast({share("wc", "bc")} as bigint) r, list_sum(list_transform(wq, lambda x, i: case when bq[i] >= 72 then x else 0 end)) mass from wt),
+b1 as (select *, (least(f, r) * 60 + chain * 25 + whole * 15) // 100 base, nq * 100 // nc cov from b0),
+b2 as (select *, case when nq >= 2 and nq < nc and f >= 90 and cov >= 40
+  then greatest(base, least(f - (100 - cov) // 2, base + case when nq >= 4 then 18 else 12 end)) else base end up from b1),
+b3 as (select *, case when swapped then up * 72 // 100 else up end g1 from b2),
+b4 as (select *, case when mass >= 150 or chain >= 95 then g1 else least(g1, 74) end g2 from b3)
+select qid, cid, cast({_GUARD.format("greatest(0, least(g2, 100))")} as bigint) as score from b4"""
+
+
+@query(_chain_sql(f"case when {_BARE.format('t')} in {_listed(sc.FALLBACK)} then 20 else 100 end"))
 def chain_scores(spark: SparkSession, d: str) -> DataFrame:
     rows = _row_pairs(spark, d, False)
     return rows.select("qid", "cid", sc.score_name_v2_forms(F.col("q"), F.col("c")).alias("score"))
