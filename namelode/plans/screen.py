@@ -65,6 +65,11 @@ def prepared_queries(queries: DataFrame, tables: Tables, entity: bool) -> DataFr
     return out.withColumn("supplied", F.col("query_dob").isNotNull() | F.col("query_codes").isNotNull())
 
 
+def heavy_words(weights: DataFrame) -> DataFrame:
+    """One row with the map ``w`` of the words that weigh less than usual: held by one record in a thousand, so few by their bands."""
+    return weights.filter("weight < 100").agg(F.map_from_entries(F.collect_list(F.struct("token", "weight"))).alias("w"))
+
+
 def _scored(rows: DataFrame, names: DataFrame, queries: DataFrame, options: Options, weight=None) -> DataFrame:
     """(query_id, record_id, name_id, ord, matched, live, shadow) of all forms of name rows (query_id, name_id, record_id)."""
     entity = options.search_type == "entity"
@@ -116,9 +121,7 @@ def screen(queries: DataFrame, tables: Tables, options: Options = Options(), wei
     names = searchable(tables.names, tables.records, options.search_type)
     weight = None
     if weights is not None and options.shadow and not entity:
-        # the weights of the query's and candidates' words that differ from the usual one are few by their bands
-        heavy = weights.filter("weight < 100").agg(F.map_from_entries(F.collect_list(F.struct("token", "weight"))).alias("w"))
-        asked = asked.join(F.broadcast(heavy)).withColumn("q", F.col("q").withField("w", F.col("w"))).drop("w")
+        asked = asked.join(F.broadcast(heavy_words(weights))).withColumn("q", F.col("q").withField("w", F.col("w"))).drop("w")
         weight = lambda bare: F.coalesce(F.col("q")["w"][bare], F.lit(100)).cast("bigint")
     rows = durable(retrieved_rows(asked.select("query_id", "name"), names))
     best = durable(_best(_expanded(rows, names, asked, options, weight), asked, options))

@@ -531,11 +531,46 @@ def _active_tokens(spark: SparkSession, d: str) -> DataFrame:
     return weights.record_tokens(*_t(spark, d, "sanctions_records", "sanctions_names"))
 
 
-@query()
+_FORMS = rf"""fv as (select id name_id, record_id, unnest([entity_name, concat_ws(' ', nullif(first_name, ''), nullif(middle_name, ''), nullif(surname, '')),
+    single_string_name, original_script_name, case when {_ARABIC} then {_latin('original_script_name')} end]) t, unnest(range(0, 5)) o from sanctions_names),
+fc as (select name_id, record_id, regexp_replace(coalesce(t, ''), '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g') n, o from fv),
+forms as (select name_id, record_id, n, cast(row_number() over (partition by name_id order by o) - 1 as int) ord
+  from (select * from fc where n <> '' qualify row_number() over (partition by name_id, lower(n) order by o) = 1))"""
+
+
+@query(f"with {_FORMS} select name_id, record_id, ord, n as name from forms")
+def name_forms(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.variants(table(spark, d, "sanctions_names"))
+
+
+_WEIGHTS = f"""{_FORMS},
+an as (select f.record_id, {_joined(_NORMAL.format("n"))} n from forms f join sanctions_records r on r.id = f.record_id where r.active_status = 'Active'),
+a1 as (select record_id, list_filter(string_split(n, ' '), lambda t: t <> '') toks from an),
+al as (select record_id, toks, list_filter(toks, lambda t: length(t) >= 2) short from a1),
+ak as (select record_id, case when len(short) = 0 then toks when len(list_filter(short, lambda t: t not in {_listed(nm.CONNECTORS)})) < 2 then short
+  else list_filter(short, lambda t: t not in {_listed(nm.CONNECTORS)}) end toks from al),
+aw as (select record_id, unnest(toks) t from ak),
+ad as (select distinct record_id, {_BARE.format("t")} token from aw where {_BARE.format("t")} <> ''),
+word_weights as (select token, df, cast(case when df * 10000 >= n * 500 then 20 when df * 10000 >= n * 200 then 35 when df * 10000 >= n * 50 then 55
+  when df * 10000 >= n * 10 then 80 else 100 end as bigint) as weight from (select token, count(*) df from ad group by 1), (select count(distinct record_id) n from ad))"""
+
+
+@query(f"with {_WEIGHTS} select * from word_weights")
 def token_weights(spark: SparkSession, d: str) -> DataFrame:
     return weights.weights(_active_tokens(spark, d))
 
 
+@query(
+    _chain_sql(f"coalesce(hm[{_BARE.format('t')}], 100)", ", heavy as (select map_from_entries(list((token, weight))) hm from word_weights where weight < 100)")
+    .replace("with nr as", f"with {_WEIGHTS}, nr as", 1)
+)
+def chain_scores_measured(spark: SparkSession, d: str) -> DataFrame:
+    heavy = plan.heavy_words(weights.weights(_active_tokens(spark, d)))
+    rows = _row_pairs(spark, d, False).join(F.broadcast(heavy))
+    weight = lambda bare: F.coalesce(F.col("w")[bare], F.lit(100)).cast("bigint")
+    return rows.select("qid", "cid", sc.score_name_v2_forms(F.col("q"), F.col("c"), weight).alias("score"))
+
+
 @query(
     r"""with w as (select distinct doc_id, unnest(regexp_extract_all(lower(text), '\p{L}{3,}')) token from documents),
 n as (select count(distinct doc_id) n from w), f as (select token, count(*) df from w group by 1)
@@ -558,61 +593,76 @@ def search_tokens(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", F.array_join(retrieval.search_tokens(F.col("single_string_name")), "|").alias("tokens"))
 
 
-@query()
+_GROUPS = rf"""tw as (select query_id, list_filter(regexp_split_to_array(regexp_replace(name, '[+\-><()~*"\\@.,;:!?'']', '', 'g'), '[\s\p{{Z}}]+'), lambda w: length(w) >= 2) tokens from asked),
+tu as (select query_id, unnest(tokens) token, cast(unnest(range(0, len(tokens))) as int) pos from tw),
+tn as (select *, {_joined(_NORMAL.format("token"))} plain from tu),
+tv as (select *, case when {_BARE.format("plain")} = plain then '' else {_BARE.format("plain")} end variant, plain in {_listed(nm.CONNECTORS)} connector from tn),
+tr as (select *, row_number() over (partition by query_id, connector order by length(token) desc, pos) k, count(*) filter (not connector) over (partition by query_id) telling from tv),
+groups as (select query_id, pos, token, variant, not connector and k <= (telling + 1) // 2 required from tr)"""
+
+
+@query(
+    f"""with asked as (select id query_id, single_string_name name from sanctions_names where single_string_name is not null), {_GROUPS},
+gt as (select query_id, pos, case when required then '+' else '' end || case when variant <> '' and variant <> token then '(' || token || '* ' || variant || '*)' else token || '*' end t from groups)
+select a.query_id as id, coalesce(string_agg(t, ' ' order by pos), '') as query from asked a left join gt using (query_id) group by 1"""
+)
 def boolean_queries(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "sanctions_names").filter("single_string_name is not null")
     groups = retrieval.term_groups(retrieval.search_tokens(F.col("single_string_name")))
     return rows.select("id", retrieval.boolean_query(groups).alias("query"))
 
 
-_FORMS = rf"""fv as (select id name_id, record_id, unnest([entity_name, concat_ws(' ', nullif(first_name, ''), nullif(middle_name, ''), nullif(surname, '')),
-    single_string_name, original_script_name, case when {_ARABIC} then {_latin('original_script_name')} end]) t, unnest(range(0, 5)) o from sanctions_names),
-fc as (select name_id, record_id, regexp_replace(coalesce(t, ''), '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g') n, o from fv),
-forms as (select name_id, record_id, n, cast(row_number() over (partition by name_id order by o) - 1 as int) ord
-  from (select * from fc where n <> '' qualify row_number() over (partition by name_id, lower(n) order by o) = 1))"""
-
+#: The names searched for: of every name row whose id is divisible by 50 its own text.
+_ASKED = f"asked as (select id query_id, {_OWN_TEXT} name from sanctions_names where id % 50 = 0)"
 
-@query(f"with {_FORMS} select name_id, record_id, ord, n as name from forms")
-def name_forms(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.variants(table(spark, d, "sanctions_names"))
 
-
-#: Searched names, in several writings of the invented names that the tables hold.
-SEARCHES = ((1, "Giantak Pistemen"), (2, "Khaskuriam Moulme Giadu"), (3, "al-Hirkairak, Zumbuk"), (4, "Dialmak Khoufountos Dimbeish"),
-            (5, "Raiskair Sheravino"), (6, "  "), (7, "Bin Tokoustiad"))
-
-
-def _searches(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(SEARCHES), "query_id int, name string")
+def _searches(spark: SparkSession, d: str) -> DataFrame:
+    text = F.coalesce(nullif_empty(records.display_name()), F.col("original_script_name"))
+    return table(spark, d, "sanctions_names").filter("id % 50 = 0").select(F.col("id").alias("query_id"), text.alias("name"))
 
 
 @query(
-    """with q(query_id, tokens) as (values (1, ['giantak', 'pistemen']), (2, ['khaskuriam', 'moulme', 'giadu']), (3, ['alhirkairak', 'zumbuk']),
-  (4, ['dialmak', 'khoufountos', 'dimbeish']), (5, ['raiskair', 'sheravino']), (7, ['bin', 'tokoustiad'])),
+    f"""with {_ASKED}, {_GROUPS},
+tq as (select query_id, list(lower(token)) tokens from groups group by 1),
 n as (select id name_id, record_id, [lower(first_name), lower(middle_name), lower(surname), lower(single_string_name), lower(original_script_name), lower(entity_name)] x
   from sanctions_names),
-m as (select query_id, name_id, record_id from n, q where len(list_filter(tokens, lambda t: len(list_filter(x, lambda c: c like '%' || t || '%')) > 0))
+m as (select query_id, name_id, record_id from n, tq where len(list_filter(tokens, lambda t: len(list_filter(x, lambda c: c like '%' || t || '%')) > 0))
   >= case when len(tokens) <= 2 then len(tokens) else (len(tokens) + 1) // 2 end)
 select query_id, name_id, record_id from m qualify row_number() over (partition by query_id order by record_id, name_id) <= 300"""
 )
 def like_matches(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.like_rows(_searches(spark), table(spark, d, "sanctions_names"))
+    return retrieval.like_rows(_searches(spark, d), table(spark, d, "sanctions_names"))
+
+
+def _matches_sql(required: str) -> str:
+    return f"""with {_ASKED}, {_GROUPS},
+gw as (select query_id, pos, {required} required, unnest(list_distinct([lower(token), lower(case when variant = '' then token else variant end)])) prefix from groups),
+posted as (select name_id, record_id, unnest(list_distinct(terms)) term from (select n.id name_id, record_id, list_filter(regexp_split_to_array(lower(concat_ws(' ', first_name, middle_name,
+    surname, single_string_name, original_script_name, entity_name)), '[^\p{{L}}\p{{M}}\p{{N}}]+'), lambda t: t <> '') terms
+  from sanctions_names n join sanctions_records r on r.id = n.record_id where r.active_status = 'Active')),
+vocabulary as (select term, count(*) df from posted group by 1),
+vm as (select distinct query_id, pos, required, term, df from gw join vocabulary on starts_with(term, prefix)),
+sizes as (select query_id, pos, required, sum(df) rows_of from vm group by all),
+hit as (select distinct query_id, pos, required, name_id, record_id, rows_of from vm join posted using (term) join sizes using (query_id, pos, required)),
+must as (select query_id, count(*) filter ({required}) needed from groups group by 1),
+scored as (select query_id, name_id, record_id, count(*) filter (required) found, round(sum(1.0 / (1.0 + ln(1.0 + cast(rows_of as double)))), 9) relevance from hit group by all)
+select query_id, name_id, record_id, relevance from scored join must using (query_id) where found = needed
+qualify row_number() over (partition by query_id order by relevance desc, record_id, name_id) <= 300"""
+
+
+def _matches(spark: SparkSession, d: str, broad: bool) -> DataFrame:
+    recs, names = _t(spark, d, "sanctions_records", "sanctions_names")
+    return retrieval.matching_rows(_searches(spark, d), retrieval.searchable(names, recs), broad).select("query_id", "name_id", "record_id", "relevance")
 
 
-@query(
-    """with q(query_id, required) as (values (1, [['pistemen']]), (2, [['khaskuriam'], ['moulme']]), (3, [['alhirkairak', 'hirkairak']]),
-  (4, [['khoufountos'], ['dimbeish']]), (5, [['sheravino']]), (7, [['tokoustiad']])),
-n as (select n.id name_id, record_id, list_filter(regexp_split_to_array(lower(concat_ws(' ', first_name, middle_name, surname, single_string_name,
-    original_script_name, entity_name)), '[^\\p{L}\\p{M}\\p{N}]+'), lambda t: t <> '') terms
-  from sanctions_names n join sanctions_records r on r.id = n.record_id where r.active_status = 'Active'),
-m as (select query_id, name_id, record_id from n, q where len(list_filter(required, lambda g: len(list_filter(terms,
-  lambda t: starts_with(t, g[1]) or starts_with(t, coalesce(g[2], g[1])))) > 0)) = len(required))
-select * from m"""
-)
+@query(_matches_sql("required"))
 def precise_matches(spark: SparkSession, d: str) -> DataFrame:
-    recs, names = _t(spark, d, "sanctions_records", "sanctions_names")
-    rows = retrieval.matching_rows(_searches(spark), retrieval.searchable(names, recs), limit=1_000_000)
-    return rows.select("query_id", "name_id", "record_id")
+    return _matches(spark, d, False)
+
+
+@query(_matches_sql("(not connector and k = 1)").replace("pos, token, variant, not connector and k <= (telling + 1) // 2 required", "pos, token, variant, connector, k"))
+def broad_matches(spark: SparkSession, d: str) -> DataFrame:
+    return _matches(spark, d, True)
 
 
 # --- secondary identifiers -------------------------------------------------------------------------------------------
@@ -716,17 +766,17 @@ def _screen_tables(spark: SparkSession, d: str) -> plan.Tables:
 
 @query()
 def screen_names(spark: SparkSession, d: str) -> DataFrame:
-    return plan.screen(_searches(spark), _screen_tables(spark, d))
+    return plan.screen(_searches(spark, d), _screen_tables(spark, d))
 
 
 @query()
 def screen_with_factors(spark: SparkSession, d: str) -> DataFrame:
-    asked = _searches(spark).withColumn("date_of_birth", F.lit("1976-03")).withColumn("citizenship", F.array(F.lit("North Vinesh")))
+    asked = _searches(spark, d).withColumn("date_of_birth", F.lit("1976-03")).withColumn("citizenship", F.array(F.lit("North Vinesh")))
     return plan.screen(asked, _screen_tables(spark, d), plan.Options(min_score=60))
 
 
 @query()
 def screen_shadow_counts(spark: SparkSession, d: str) -> DataFrame:
     tables = _screen_tables(spark, d)
-    found = plan.screen(_searches(spark), tables, plan.Options(min_score=60, shadow=True))
+    found = plan.screen(_searches(spark, d), tables, plan.Options(min_score=60, shadow=True))
     return plan.shadow_comparison(found, 60)
