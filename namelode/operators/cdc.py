@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from namelode.operators.records import display_name
-from namelode.session import nullif_empty
+from namelode.session import nullif_empty, trimmed
 
 #: The most change events that a run keeps, in order of record and change.
 EVENT_LIMIT = 50_000
@@ -15,8 +15,8 @@ RECORD_FIELDS = ("record_type", "action", "action_date", "gender", "active_statu
 
 
 def is_active(status: Column) -> Column:
-    """Whether a status means active, case and outer blanks aside."""
-    return F.lower(F.trim(F.coalesce(status, F.lit("")))) == "active"
+    """Whether a status means active, case and outer white space aside."""
+    return F.lower(trimmed(F.coalesce(status, F.lit("")))) == "active"
 
 
 def is_complete_feed(scope: str, declared: int, incoming: int, existing: int) -> bool:
@@ -146,7 +146,7 @@ def event_details(events: DataFrame, names: DataFrame, dates: DataFrame, countri
     """
     own = events.select("record_id").distinct()
     rank = F.coalesce(F.array_position(F.array(*map(F.lit, NAMED_BY)), F.col("name_type")), F.lit(0))
-    shown = names.join(own, "record_id", "left_semi").withColumn("shown", F.trim(display_name()))
+    shown = names.join(own, "record_id", "left_semi").withColumn("shown", trimmed(display_name()))
     named = shown.filter("shown <> ''").groupBy("record_id").agg(F.min_by("shown", F.struct(rank, "id")).alias("display_name"))
     dob = F.concat_ws("-", nullif_empty(F.col("year")), nullif_empty(F.col("month")), nullif_empty(F.col("day")))
     born = dates.filter(F.lower("date_type").contains("birth")).join(own, "record_id", "left_semi").withColumn("dob", dob)

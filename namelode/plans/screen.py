@@ -11,8 +11,9 @@ from namelode.functions import scoring as sc
 from namelode.functions.countries import country_index, country_key
 from namelode.functions.dates import parse_partial_date
 from namelode.operators.factors import with_factors
+from namelode.operators.records import hydrated
 from namelode.operators.retrieval import like_rows, retrieved_rows, searchable, variants
-from namelode.session import durable
+from namelode.session import durable, trimmed
 
 # Margins and limits of the rules.
 FACTOR_BOOST, ALIAS_MARGIN, ALIAS_RECORDS, FACTOR_RECORDS, RESULT_RECORDS = 16, 20, 100, 200, 50
@@ -49,12 +50,12 @@ class Options:
 def prepared_queries(queries: DataFrame, tables: Tables, entity: bool) -> DataFrame:
     """Queries (query_id, name[, date_of_birth, citizenship array]) with name form, date, codes and ``supplied``.
 
-    Blank names are left out: they have no results. Dates that can't be read count as not supplied.
+    Queries that ``rejected`` names are left out: they have no results.
     """
     have = set(queries.columns)
     text = lambda c, t: F.col(c) if c in have else F.lit(None).cast(t)
     rows = queries.select("query_id", "name", text("date_of_birth", "string").alias("date_of_birth"), text("citizenship", "array<string>").alias("citizenship"))
-    rows = rows.filter(F.trim(F.coalesce("name", F.lit(""))) != "")
+    rows = rows.join(rejected(rows), "query_id", "left_anti")
     asked = rows.select("query_id", F.posexplode("citizenship").alias("pos", "country")).filter(F.trim(F.coalesce("country", F.lit(""))) != "")
     index = country_index(tables.ref_countries)
     found = asked.join(index, country_key(F.col("country")) == F.col("key"), "left").groupBy("query_id").agg(
@@ -83,7 +84,7 @@ def _scored(rows: DataFrame, names: DataFrame, queries: DataFrame, options: Opti
 
 
 def _best(scored: DataFrame, queries: DataFrame, options: Options) -> DataFrame:
-    """One row for each query and record: its best kept name by either score, earlier rows first in a tie."""
+    """One row for each query and record: its best kept name by each score, earlier rows first in a tie."""
     floor = F.when(F.col("supplied"), F.greatest(F.lit(options.min_score - FACTOR_BOOST), F.lit(0))).otherwise(options.min_score)
     rows = scored.join(queries.select("query_id", floor.alias("floor")), "query_id")
     kept = rows.filter((F.col("floor") <= 0) | (F.col("live") >= F.col("floor")) | (F.col("shadow") >= F.col("floor")))
@@ -92,6 +93,7 @@ def _best(scored: DataFrame, queries: DataFrame, options: Options) -> DataFrame:
         F.max("live").alias("name_score"),
         F.max_by("matched", F.struct("live", *earlier)).alias("matched_name"),
         F.max("shadow").alias("shadow_score"),
+        F.max_by("matched", F.struct("shadow", *earlier)).alias("shadow_name"),
     )
 
 
@@ -147,7 +149,33 @@ def screen(queries: DataFrame, tables: Tables, options: Options = Options(), wei
     if not options.shadow:
         out = out.filter(F.col("rank") <= options.results)
     return out.select("query_id", "rank", "record_id", "matched_name", "name_score", "score", "adjustment",
-                      F.col("dob.status").alias("dob_status"), F.col("citizenship.status").alias("citizenship_status"), "shadow_score", "shadow_final")
+                      F.col("dob.status").alias("dob_status"), F.col("citizenship.status").alias("citizenship_status"), "shadow_score", "shadow_final",
+                      F.lit(None).cast("string").alias("shadow_name") if not options.shadow else F.col("shadow_name"))
+
+
+def rejected(queries: DataFrame) -> DataFrame:
+    """(query_id, error) of the queries that can't be screened: a blank name, or a date of birth that can't be read.
+
+    The others of a batch are screened; one with an unreadable date has no results, as it would be judged by less than it says.
+    """
+    blank = trimmed(F.coalesce("name", F.lit(""))) == ""
+    unread = F.lit(False)
+    if "date_of_birth" in queries.columns:
+        given = trimmed(F.coalesce("date_of_birth", F.lit(""))) != ""
+        unread = given & parse_partial_date(F.col("date_of_birth")).isNull()
+    error = F.when(blank, "name is required").when(unread, "date_of_birth can't be read")
+    return queries.select("query_id", error.alias("error")).filter("error is not null")
+
+
+def screened_records(screened: DataFrame, tables: Tables, custom_lists: DataFrame) -> DataFrame:
+    """``screened`` rows with their records as nested documents (``record``), and whether a custom list holds each.
+
+    Only the records that a query kept are read with their children, each once however many queries name it; ids without a
+    record vanish.
+    """
+    docs = hydrated(screened.select(F.col("record_id").alias("id")), tables.records, custom_lists, tables.names, tables.dates, tables.countries, tables.ref_countries)
+    whole = docs.select(F.col("id").alias("record_id"), F.col("custom_list_id").isNotNull().alias("is_custom_list"), "source", F.struct(*docs.columns).alias("record"))
+    return screened.join(whole, "record_id")
 
 
 def shadow_comparison(screened: DataFrame, min_score: int) -> DataFrame:

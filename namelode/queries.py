@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from namelode.functions import countries as ct
@@ -156,10 +156,40 @@ def hydrated_sizes(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("id", *(F.size(k).alias(k) for k in ("names", "dates", "countries")))
 
 
-@query()
+_PIPED = {
+    "names": ("sanctions_names", records.CHILD_KEYS["names"], "where position <= 10"),
+    "dates": ("sanctions_dates", records.CHILD_KEYS["dates"], ""),
+    "countries": ("sanctions_countries", ("country_type", "country_code"), ""),
+}
+
+
+def _piped_sql(kind: str) -> str:
+    tab, fields, limit = _PIPED[kind]
+    extra = ", f.name" if kind == "countries" else ""
+    keys = ", ".join(f"coalesce(cast({k} as varchar), '')" for k in records.CHILD_KEYS[kind])
+    join = "left join sanctions_ref_countries f on f.code = k.country_code" if kind == "countries" else ""
+    return f"""(with k as (select * from {tab} qualify row_number() over (partition by record_id, {keys} order by id) = 1),
+p as (select k.record_id, row_number() over (partition by k.record_id order by k.id) as position, concat_ws('|', {", ".join(f"coalesce(k.{x}, '')" for x in fields)}{", coalesce(f.name, '')" if extra else ""}) t from k {join})
+select record_id, string_agg(t, ';' order by position) {kind} from p {limit} group by 1)"""
+
+
+@query(
+    f"""select r.id, case when lower(r.record_type) = 'entity' then 'Entity' when r.record_type is not null then 'Person' end as record_type,
+  r.active_status, r.action, r.action_date, r.gender, r.deceased, case when r.custom_list_id is null then 'sanctions_list' when nullif(c.name, '') is not null
+    then 'custom_list:' || c.name else 'custom_list' end as source, coalesce(n.names, '') as names, coalesce(t.dates, '') as dates, coalesce(l.countries, '') as countries
+from sanctions_records r left join custom_lists c on c.id = r.custom_list_id left join {_piped_sql("names")} n on n.record_id = r.id
+left join {_piped_sql("dates")} t on t.record_id = r.id left join {_piped_sql("countries")} l on l.record_id = r.id"""
+)
 def hydrated_records(spark: SparkSession, d: str) -> DataFrame:
     tabs = _t(spark, d, "sanctions_records", "custom_lists", "sanctions_names", "sanctions_dates", "sanctions_countries", "sanctions_ref_countries")
-    return records.hydrated(tabs[0].filter("active_status = 'Active'").select("id"), *tabs)
+    docs = records.hydrated(tabs[0].select("id"), *tabs)
+
+    def piped(kind: str) -> Column:
+        fields = [f.name for f in docs.schema[kind].dataType.elementType]
+        row = lambda x: F.concat_ws("|", *(F.coalesce(x[f], F.lit("")) for f in fields))
+        return F.array_join(F.transform(kind, row), ";").alias(kind)
+
+    return docs.select("id", "record_type", "active_status", "action", "action_date", "gender", "deceased", "source", *map(piped, _PIPED))
 
 
 @query("""select c.id, c.name, count(r.id) as record_count from custom_lists c left join sanctions_records r on r.custom_list_id = c.id group by all""")
@@ -187,16 +217,18 @@ def custom_list_deleted(spark: SparkSession, d: str) -> DataFrame:
 
 # --- loads and their changes -----------------------------------------------------------------------------------------
 
+#: Each snapshot against the one before: the official rows of the number ``n`` are the feed, those of n - 1 the stored records.
 _SNAPSHOT = """s as (select * from record_snapshots where custom_list_id is null
   qualify row_number() over (partition by snapshot_no, record_id order by received_at desc, record_type, active_status, action) = 1),
-e as (select record_id, coalesce(record_type, '') record_type, coalesce(active_status, '') st from s where snapshot_no = 1),
-i as (select record_id, record_type, active_status, coalesce(active_status, '') st, action from s where snapshot_no = 2)"""
+numbers as (select max(snapshot_no) top, min(snapshot_no) low from s),
+e as (select snapshot_no + 1 n, record_id, coalesce(record_type, '') record_type, coalesce(active_status, '') st, s.* exclude (record_id, record_type) from s, numbers where snapshot_no < top),
+i as (select snapshot_no n, record_id, record_type, active_status, coalesce(active_status, '') st, action, action_date, gender, deceased from s, numbers where snapshot_no > low)"""
 _EVENTS = f"""{_SNAPSHOT},
-x as (select coalesce(e.record_id, i.record_id) record_id, e.record_id is null as is_new, i.record_id is null as is_gone,
+x as (select coalesce(e.n, i.n) n, coalesce(e.record_id, i.record_id) record_id, e.record_id is null as is_new, i.record_id is null as is_gone,
   lower(trim(coalesce(e.st, ''))) = 'active' as ea, lower(trim(coalesce(i.st, ''))) = 'active' as ia,
   case when i.record_id is null then e.record_type else i.record_type end as record_type
-  from e full join i on e.record_id = i.record_id),
-ev as (select record_id, record_type, unnest(list_filter([case when is_new then 'added' end, case when is_new and not ia then 'added_inactive' end,
+  from e full join i on e.record_id = i.record_id and e.n = i.n),
+ev as (select n as snapshot_no, record_id, record_type, unnest(list_filter([case when is_new then 'added' end, case when is_new and not ia then 'added_inactive' end,
   case when is_gone then 'removed_from_feed' end, case when (is_gone or (not is_new and not ia)) and ea then 'inactivated' end,
   case when not is_new and not is_gone and ia and not ea then 'reactivated' end], lambda v: v is not null)) change_type from x)"""
 
@@ -209,51 +241,75 @@ def _feed(spark: SparkSession, d: str, number: int) -> DataFrame:
     return last.select("id", "r.*").withColumn("profile_notes", F.lit(None).cast("string"))
 
 
-def _matched(spark: SparkSession, d: str) -> DataFrame:
-    stored = _feed(spark, d, 1).withColumn("custom_list_id", F.lit(None).cast("bigint"))
-    return cdc.matched(cdc.official_records(stored), _feed(spark, d, 2))
+def _stored(spark: SparkSession, d: str, number: int) -> DataFrame:
+    return _feed(spark, d, number).withColumn("custom_list_id", F.lit(None).cast("bigint"))
+
 
+def _each_load(spark: SparkSession, d: str, make: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """What ``make`` gives of the stored records and the feed of every snapshot from the second on, with its number."""
+    low, top = table(spark, d, "record_snapshots").agg(F.min("snapshot_no"), F.max("snapshot_no")).first()
+    out = None
+    for n in range(low + 1, top + 1):
+        one = make(_stored(spark, d, n - 1), _feed(spark, d, n)).withColumn("snapshot_no", F.lit(n))
+        out = one if out is None else out.unionByName(one)
+    return out
 
-@query(f"with {_EVENTS} select record_id, record_type, change_type from ev")
+
+def _events(spark: SparkSession, d: str) -> DataFrame:
+    return _each_load(spark, d, lambda old, new: cdc.change_events(cdc.matched(cdc.official_records(old), new), True))
+
+
+@query(f"with {_EVENTS} select snapshot_no, record_id, record_type, change_type from ev")
 def cdc_events(spark: SparkSession, d: str) -> DataFrame:
-    return cdc.change_events(_matched(spark, d), True)
+    return _events(spark, d)
 
 
 @query(
-    f"""with {_EVENTS} select change_type, 'sanctions_record' as entity, nullif(record_type, '') as record_type, count(*) as count
+    f"""with {_EVENTS} select snapshot_no, change_type, 'sanctions_record' as entity, nullif(record_type, '') as record_type, count(*) as count
 from ev group by all"""
 )
 def cdc_counts(spark: SparkSession, d: str) -> DataFrame:
-    return cdc.change_counts(cdc.change_events(_matched(spark, d), True))
+    return _each_load(spark, d, lambda old, new: cdc.change_counts(cdc.change_events(cdc.matched(cdc.official_records(old), new), True)))
 
 
-@query(
-    f"""with {_SNAPSHOT} select i.record_id as id from e join i on e.record_id = i.record_id
-where e.st <> i.st or (lower(trim(e.st)) = 'active' and coalesce(i.action, '') = 'del')"""
-)
+@query(f"""with {_EVENTS} select snapshot_no, record_id, change_type from ev where change_type <> 'added_inactive'
+qualify row_number() over (partition by snapshot_no order by record_id, change_type) <= 300""")
+def cdc_kept_events(spark: SparkSession, d: str) -> DataFrame:
+    kept = lambda old, new: cdc.kept_events(cdc.change_events(cdc.matched(cdc.official_records(old), new), True), 300)
+    return _each_load(spark, d, kept).select("snapshot_no", "record_id", "change_type")
+
+
+_REWRITES = "(e.st <> i.st or (lower(trim(e.st)) = 'active' and coalesce(i.action, '') = 'del'))"
+
+
+@query(f"with {_SNAPSHOT} select i.n as snapshot_no, i.record_id as id from e join i on e.record_id = i.record_id and e.n = i.n where {_REWRITES}")
 def cdc_updates(spark: SparkSession, d: str) -> DataFrame:
-    return _matched(spark, d).filter(cdc.needs_update()).select("id")
+    return _each_load(spark, d, lambda old, new: cdc.matched(cdc.official_records(old), new).filter(cdc.needs_update()).select("id"))
+
+
+def _applied_column(name: str, removed: str) -> str:
+    stored = "(select s.record_type from s where s.snapshot_no = e.n - 1 and s.record_id = e.record_id)" if name == "record_type" else f"e.{name}"
+    return f"case when i.record_id is null then {removed or stored} when e.record_id is null or {_REWRITES} then i.{name} else {stored} end as {name}"
 
 
 @query(
-    f"""with {_SNAPSHOT} select coalesce(e.record_id, i.record_id) as id,
-  case when i.record_id is null then 'Inactive' when e.record_id is null or e.st <> i.st
-      or (lower(trim(e.st)) = 'active' and coalesce(i.action, '') = 'del') then i.active_status
-    else (select s.active_status from s where s.snapshot_no = 1 and s.record_id = e.record_id) end as active_status
-from e full join i on e.record_id = i.record_id"""
+    f"""with {_SNAPSHOT} select coalesce(e.n, i.n) as snapshot_no, coalesce(e.record_id, i.record_id) as id, """
+    + ", ".join(_applied_column(c, r) for c, r in (("record_type", ""), ("action", "'del'"), ("action_date", "'2025-03-10'"), ("gender", ""), ("active_status", "'Inactive'"), ("deceased", "")))
+    + """ from e full join i on e.record_id = i.record_id and e.n = i.n"""
 )
 def cdc_applied(spark: SparkSession, d: str) -> DataFrame:
-    stored = _feed(spark, d, 1).withColumn("custom_list_id", F.lit(None).cast("bigint"))
-    return cdc.applied(stored, _feed(spark, d, 2), True, F.lit("2025-03-10")).select("id", "active_status")
+    rows = _each_load(spark, d, lambda old, new: cdc.applied(old, new, True, F.lit("2025-03-10")))
+    return rows.drop("profile_notes", "custom_list_id")
 
 
 @query(
-    f"""with {_SNAPSHOT}, n as (select (select count(*) from e) existing, (select count(*) from i) incoming)
-select existing > 0 and (existing <= 10000 or incoming >= existing * 9 // 10) as complete from n"""
+    f"""with {_SNAPSHOT}, n as (select n, (select count(*) from e where e.n = m.n) existing, (select count(*) from i where i.n = m.n) incoming from (select distinct n from i) m)
+select cast(n as int) as snapshot_no, existing > 0 and (existing <= 10000 or incoming >= existing * 9 // 10) as complete from n"""
 )
 def complete_feed_guard(spark: SparkSession, d: str) -> DataFrame:
-    existing, incoming = (_feed(spark, d, n).agg(F.count("*").alias("n")).first()["n"] for n in (1, 2))
-    return spark.createDataFrame([(cdc.is_complete_feed("full", 0, incoming, existing),)], "complete boolean")
+    sizes = dict(table(spark, d, "record_snapshots").filter("custom_list_id is null").groupBy("snapshot_no").agg(F.countDistinct("record_id")).collect())
+    rows = [(n, cdc.is_complete_feed("full", 0, sizes[n], sizes.get(n - 1, 0))) for n in sorted(sizes) if n - 1 in sizes]
+    return spark.createDataFrame(rows, "snapshot_no int, complete boolean")
 
 
 @query(
@@ -266,15 +322,15 @@ d1 as (select record_id, concat_ws('-', nullif(year, ''), nullif(month, ''), nul
   qualify row_number() over (partition by record_id order by id) = 1),
 c1 as (select c.record_id, string_agg(coalesce(f.name, c.country_code, ''), '|' order by c.id) lands
   from sanctions_countries c left join sanctions_ref_countries f on f.code = c.country_code group by 1)
-select ev.record_id, ev.change_type, n1.shown as display_name, d1.dob as date_of_birth, c1.lands as countries
+select ev.snapshot_no, ev.record_id, ev.change_type, n1.shown as display_name, d1.dob as date_of_birth, c1.lands as countries
 from ev left join n1 using (record_id) left join d1 using (record_id) left join c1 using (record_id)"""
 )
 def cdc_event_details(spark: SparkSession, d: str) -> DataFrame:
     tabs = _t(spark, d, "sanctions_names", "sanctions_dates", "sanctions_countries", "sanctions_ref_countries")
-    rows = cdc.event_details(cdc.change_events(_matched(spark, d), True), *tabs)
+    rows = cdc.event_details(_events(spark, d), *tabs)
     listed = F.from_json("countries_json", "array<struct<type:string,code:string,name:string>>")
     named = F.array_join(F.transform(listed, lambda c: c["name"]), "|")
-    return rows.select("record_id", "change_type", "display_name", "date_of_birth", named.alias("countries"))
+    return rows.select("snapshot_no", "record_id", "change_type", "display_name", "date_of_birth", named.alias("countries"))
 
 
 @query(
@@ -635,7 +691,7 @@ def like_matches(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _matches_sql(required: str) -> str:
-    return f"""with {_ASKED}, {_GROUPS},
+    return rf"""with {_ASKED}, {_GROUPS},
 gw as (select query_id, pos, {required} required, unnest(list_distinct([lower(token), lower(case when variant = '' then token else variant end)])) prefix from groups),
 posted as (select name_id, record_id, unnest(list_distinct(terms)) term from (select n.id name_id, record_id, list_filter(regexp_split_to_array(lower(concat_ws(' ', first_name, middle_name,
     surname, single_string_name, original_script_name, entity_name)), '[^\p{{L}}\p{{M}}\p{{N}}]+'), lambda t: t <> '') terms
@@ -769,14 +825,41 @@ def screen_names(spark: SparkSession, d: str) -> DataFrame:
     return plan.screen(_searches(spark, d), _screen_tables(spark, d))
 
 
+@query()
+def screen_entities(spark: SparkSession, d: str) -> DataFrame:
+    return plan.screen(_searches(spark, d), _screen_tables(spark, d), plan.Options(min_score=60, search_type="entity", like_fallback=True))
+
+
+@query()
+def screened_documents(spark: SparkSession, d: str) -> DataFrame:
+    tables = _screen_tables(spark, d)
+    found = plan.screen(_searches(spark, d), tables, plan.Options(min_score=80))
+    docs = plan.screened_records(found, tables, table(spark, d, "custom_lists"))
+    names, dates, lands = (F.size(f"record.{k}").alias(k) for k in ("names", "dates", "countries"))
+    return docs.select("query_id", "rank", "record_id", "score", "source", "is_custom_list", F.col("record.record_type").alias("record_type"), names, dates, lands)
+
+
+def _searches_with_facts(spark: SparkSession, d: str) -> DataFrame:
+    """The searches with the first date of birth of their record as it is typed, and its citizenships."""
+    own = table(spark, d, "sanctions_names").filter("id % 50 = 0").select(F.col("id").alias("query_id"), "record_id")
+    dates = table(spark, d, "sanctions_dates").filter("date_type = 'Date of Birth' and year is not null").groupBy("record_id").agg(F.min_by("year", "id").alias("date_of_birth"))
+    lands = table(spark, d, "sanctions_countries").filter("country_code is not null").groupBy("record_id").agg(F.sort_array(F.collect_set("country_code")).alias("citizenship"))
+    return _searches(spark, d).join(own, "query_id").join(dates, "record_id", "left").join(lands, "record_id", "left").drop("record_id")
+
+
 @query()
 def screen_with_factors(spark: SparkSession, d: str) -> DataFrame:
-    asked = _searches(spark, d).withColumn("date_of_birth", F.lit("1976-03")).withColumn("citizenship", F.array(F.lit("North Vinesh")))
-    return plan.screen(asked, _screen_tables(spark, d), plan.Options(min_score=60))
+    return plan.screen(_searches_with_facts(spark, d), _screen_tables(spark, d), plan.Options(min_score=60))
+
+
+@query()
+def screen_rejections(spark: SparkSession, d: str) -> DataFrame:
+    return plan.rejected(_searches_with_facts(spark, d))
 
 
 @query()
 def screen_shadow_counts(spark: SparkSession, d: str) -> DataFrame:
     tables = _screen_tables(spark, d)
-    found = plan.screen(_searches(spark, d), tables, plan.Options(min_score=60, shadow=True))
+    measured = weights.weights(_active_tokens(spark, d))
+    found = plan.screen(_searches(spark, d), tables, plan.Options(min_score=60, shadow=True), measured)
     return plan.shadow_comparison(found, 60)

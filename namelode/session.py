@@ -21,6 +21,7 @@ def local_session(app: str = "namelode", cores: int | str = "*", **conf: str) ->
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
@@ -46,16 +47,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; a temporary folder where that is unset, on one machine only."""
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured:
+        return configured
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="namelode-checkpoint-")
+
+
 def durable(df: DataFrame) -> DataFrame:
     """``df`` written once to the reliable checkpoint folder, its lineage cut.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (local tests) a
-    temporary one is taken. The files survive the loss of an executor.
+    The folder is the one the session has, see ``checkpoint_folder``. The files survive the loss of an executor; Spark deletes them with the
+    frame where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set, as ``local_session`` does.
     """
     context = df.sparkSession.sparkContext
+    ship(df.sparkSession)
     if context.getCheckpointDir() is None:
-        configured = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="namelode-checkpoint-"))
+        context.setCheckpointDir(checkpoint_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -64,6 +75,11 @@ def nullif_empty(col: Column) -> Column:
     return F.nullif(col, F.lit(""))
 
 
+def trimmed(col: Column) -> Column:
+    """A text without outer white space of any kind, non-breaking blanks among it."""
+    return F.regexp_replace(col, r"(?U)^\s+|\s+$", "")
+
+
 def all_of(conditions: list[Column]) -> Column:
     """The conjunction of ``conditions``; TRUE for none."""
     return reduce(lambda a, b: a & b, conditions, F.lit(True))
