@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import codecs
 import json
+import re
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -101,10 +102,14 @@ def split_feed(path: str, target: str, chunk: int = 1 << 20) -> dict:
     return meta
 
 
+_STRUCTURE, _IN_STRING = re.compile(r'["{}\[\],:]'), re.compile(r'["\\]')
+
+
 def feed_values(path: str, chunk: int = 1 << 20) -> Iterator[tuple[str, int, str]]:
     """(key, position, JSON text) of each element of the feed's top-level arrays and of its other values.
 
-    A scanner over depth, strings and escapes; only the element at hand is kept in memory.
+    A scanner over depth, strings and escapes that jumps from one character of structure to the next; only the element at
+    hand is kept in memory.
     """
     decode = codecs.getincrementaldecoder("utf-8-sig")()
     depth, quoted, escaped, in_array = 0, False, False, False
@@ -114,15 +119,23 @@ def feed_values(path: str, chunk: int = 1 << 20) -> Iterator[tuple[str, int, str
     token: list[str] = []
     with open(path, "rb") as file:
         while block := file.read(chunk):
-            for c in decode.decode(block):
+            text = decode.decode(block)
+            at, end = 0, len(text)
+            while at < end:
+                if escaped:
+                    token.append(text[at])
+                    at, escaped = at + 1, False
+                    continue
+                found = (_IN_STRING if quoted else _STRUCTURE).search(text, at)
+                stop = found.start() if found else end
+                if depth:
+                    token.append(text[at:stop])
+                if not found:
+                    break
+                c, at = text[stop], stop + 1
                 if quoted:
                     token.append(c)
-                    if escaped:
-                        escaped = False
-                    elif c == "\\":
-                        escaped = True
-                    elif c == '"':
-                        quoted = False
+                    escaped, quoted = c == "\\", c != '"'
                     continue
                 level = depth - (2 if in_array else 1)
                 if c == '"':
@@ -136,10 +149,11 @@ def feed_values(path: str, chunk: int = 1 << 20) -> Iterator[tuple[str, int, str
                     token = []
                 elif level == 0 and not in_array and c == "[" and not expect_key:
                     in_array, depth = True, 2
+                    token = []
                 elif level == 0 and (c == "," or c in "]}"):
-                    text = "".join(token).strip()
-                    if text and key is not None and not expect_key:
-                        yield key, number, text
+                    value = "".join(token).strip()
+                    if value and key is not None and not expect_key:
+                        yield key, number, value
                         number += 1
                     token = []
                     if in_array and c == "]":

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from namelode.functions import countries as ct
 from namelode.functions import dates as dt
-from namelode.operators import cdc, custom_lists, records, retrieval
+from namelode.operators import cdc, custom_lists, history, records, retrieval
 from namelode.operators.snapshots import snapshot_changes
 from namelode.plans import screen as plan
 from namelode.sources import feed, load
@@ -137,8 +137,24 @@ def test_feed_split_and_load(spark, tmp_path):
     now = {r["id"]: (r["active_status"], r["action"]) for r in load.Store(spark, store).read("record", load.schema_of("record")).collect()}
     assert now == {1: ("Inactive", "chg"), 2: ("Inactive", "del"), 3: ("x", None)}
     assert load.Store(spark, store).read("record_name", load.schema_of("record_name")).count() == 2
-    with load.single_writer(store), pytest.raises(RuntimeError):
+    with load.single_writer(spark, store), pytest.raises(RuntimeError):
         load.load_feed(spark, str(path), store, str(tmp_path / "w2"))
+    kept = load.Store(spark, store)
+    assert sorted((r["run_id"], r["record_id"], r["change_type"], r["display_name"]) for r in kept.record_changes().collect()) == [
+        (2, 1, "inactivated", "Lee"), (2, 2, "inactivated", None), (2, 2, "removed_from_feed", None), (2, 3, "added", None)]
+    assert history.affected(kept.run_changes()).filter("run_id = 2").first()["total_records_affected"] == 4
+    path.write_text("{")
+    with pytest.raises(Exception):  # noqa: B017
+        load.load_feed(spark, str(path), "/proc/none", str(tmp_path / "w3"))
+    (tmp_path / "bad.json").write_text('{"record": [{]}')
+    with pytest.raises(ValueError):
+        load.load_feed(spark, str(tmp_path / "bad.json"), store, str(tmp_path / "w4"))
+    runs = history.run_page(kept.runs()).collect()
+    assert [(r["id"], r["status"]) for r in runs] == [(3, "failed"), (2, "completed"), (1, "completed")] and kept.version == 2
+    kept.folder.create("loader.lock", "2020-01-01T00:00:00+00:00")
+    with load.single_writer(spark, store):
+        pass
+    assert not kept.folder.exists("loader.lock")
 
 
 def test_screening(spark):
