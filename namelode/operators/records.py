@@ -115,10 +115,13 @@ def hydrated(
     ref_countries: DataFrame,
     name_limit: int = 10,
     notes: bool = False,
+    images: DataFrame | None = None,
+    descriptions: DataFrame | None = None,
+    associations: DataFrame | None = None,
 ) -> DataFrame:
     """The records of ``ids`` as nested documents: names, dates and countries as arrays in id order.
 
-    Children are reduced to the wanted records before they are grouped; unknown ids vanish, records
+    So are images, descriptions (see ``described``) and associations (see ``association_names``) where they are given. Children are reduced to the wanted records before they are grouped; unknown ids vanish, records
     without children have empty arrays. ``notes`` keeps the profile notes.
     """
     wanted = ids.select("id").distinct()
@@ -136,11 +139,14 @@ def hydrated(
     base = with_source(records.join(wanted, "id", "left_semi"), custom_lists)
     if not notes:
         base = base.drop("profile_notes")
-    parts = (
+    parts = [
         nested(names, "names", name_limit, list(CHILD_KEYS["names"])),
         nested(dates, "dates", 0, list(CHILD_KEYS["dates"])),
         nested(lands, "countries", 0, ["country_type", "country_code", "listed_name"]),
-    )
+    ]
+    more = (("images", images, ["url"]), ("descriptions", descriptions, [*CHILD_KEYS["descriptions"], *(f"description{n}" for n in (1, 2, 3))]),
+            ("associations", associations, [*CHILD_KEYS["associations"], "is_ex", "associate_name", "relationship"]))
+    parts += [nested(rows, kind, 0, fields) for kind, rows, fields in more if rows is not None]
     for part in parts:
         base = base.join(part, "id", "left")
     kinds = {p.columns[1]: p.schema[1].dataType.simpleString() for p in parts}
@@ -164,3 +170,11 @@ def association_names(associations: DataFrame, names: DataFrame, relationships:
     named = relationships.select(F.col("code").alias("relationship_code"), F.col("name").alias("relationship"))
     joined = associations.join(first, "associate_id", "left").join(named, "relationship_code", "left")
     return joined.withColumn("associate_name", F.coalesce("associate_name", F.lit("")))
+
+
+def record_show(store_tables: dict[str, DataFrame], custom_lists: DataFrame, ids: DataFrame) -> DataFrame:
+    """The records of ``ids`` with all their children and notes, from the tables of a load by section name."""
+    t = store_tables
+    said = described(t["record_description"], t["ref_description1"], t["ref_description2"], t["ref_description3"])
+    links = association_names(t["association"], t["record_name"], t["ref_relationship"])
+    return hydrated(ids, t["record"], custom_lists, t["record_name"], t["record_date"], t["record_country"], t["ref_country"], 0, True, t["record_image"], said, links)

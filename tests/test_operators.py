@@ -167,3 +167,34 @@ def test_screening(spark):
     asked = spark.createDataFrame([(1, name), (2, " "), (3, "zzzz qqqq")], "query_id int, name string")
     out = plan.screen(asked, tables, plan.Options(min_score=60, shadow=False)).collect()
     assert out[0]["query_id"] == 1 and out[0]["rank"] == 1 and out[0]["score"] == 100 and {r["query_id"] for r in out} == {1}
+
+
+def test_record_show(spark, tmp_path):
+    whole = FEED | {"ref_relationship": [{"code": 5, "name": "Brother"}], "ref_description1": [{"description1_id": 1, "name": "Top"}], "record_image": [{"record_id": 1, "url": "u"}, {"record_id": 1, "url": "u"}],
+                    "record_description": [{"record_id": 1, "description1_id": 1}], "association": [{"record_id": 1, "associate_id": 2, "relationship_code": 5, "is_ex": "yes"}]}
+    (tmp_path / "feed.json").write_text(json.dumps(whole))
+    load.load_feed(spark, str(tmp_path / "feed.json"), str(tmp_path / "s"), str(tmp_path / "w"))
+    store = load.Store(spark, str(tmp_path / "s"))
+    lists = spark.createDataFrame([], "id bigint, name string")
+    tables = {s: store.read(s, load.schema_of(s)) for s in feed.SECTIONS}
+    got = {r["id"]: r for r in records.record_show(tables, lists, tables["record"].select("id")).collect()}
+    one = got[1]
+    assert [i["url"] for i in one["images"]] == ["u"] and one["descriptions"][0]["description1"] == "Top" and got[2]["images"] == []
+    assert (one["associations"][0]["associate_name"], one["associations"][0]["relationship"], one["associations"][0]["is_ex"]) == ("", "Brother", True)
+
+
+def test_screened_records_and_rejections(spark):
+    data = "/root/testdata/sf0.001"
+    tables = plan.Tables(*(spark.read.parquet(f"{data}/{t}.parquet") for t in ("sanctions_records", "sanctions_names", "sanctions_dates", "sanctions_countries", "sanctions_ref_countries")))
+    lists = spark.read.parquet(f"{data}/custom_lists.parquet")
+    row = tables.names.filter("name_type = 'Primary Name' and surname <> '' and first_name <> ''").join(
+        tables.records.filter("active_status = 'Active' and record_type <> 'Entity'").selectExpr("id record_id"), "record_id"
+    ).orderBy("record_id").first()
+    name = f"{row['first_name']} {row['surname']}"
+    asked = spark.createDataFrame([(1, name, None), (2, "\u00a0 ", None), (3, name, "someday"), (4, None, None)], "query_id int, name string, date_of_birth string")
+    assert {r["query_id"]: r["error"] for r in plan.rejected(asked).collect()} == {2: "name is required", 3: "date_of_birth can't be read", 4: "name is required"}
+    found = plan.screen(asked, tables, plan.Options(min_score=60, shadow=True))
+    docs = plan.screened_records(found, tables, lists).collect()
+    assert docs and {r["query_id"] for r in docs} == {1} and all(r["record"]["id"] == r["record_id"] and r["record"]["names"] for r in docs)
+    assert all(r["is_custom_list"] == (r["record"]["custom_list_id"] is not None) and r["shadow_name"] for r in docs)
+    assert plan.screened_records(found.limit(0), tables, lists).count() == 0
