@@ -133,13 +133,15 @@ def match_values(typed: DataFrame, reference: DataFrame, threshold: float = JACC
     Candidates come from the set-similarity join of the parts of the value with the forms of the entries.
     A candidate holds if the edit distance is small for its length, if one is a beginning of the other
     (an abbreviation, or a name with the ending of its people), or if just its vowels were left out. The
-    closest is kept: by distance, then by Jaccard; a value equally close to two entries means none.
+    best is kept: by exact Jaccard, then by distance; a value equally close to two entries means none.
     """
-    units = typed_units(typed)
-    forms = entry_forms(reference)
+    units = durable(typed_units(typed))
+    forms = durable(entry_forms(reference))
+    # so few bytes would be joined into one task
+    tasks = int(typed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     candidates = similar_sets(
         units.select(F.col("unit").alias("l")).distinct(), forms.select(F.col("form").alias("r")).distinct(), threshold
-    ).withColumnsRenamed({"l": "unit", "r": "form"})
+    ).withColumnsRenamed({"l": "unit", "r": "form"}).repartition(tasks, "unit")
     pairs = candidates.join(forms, "form")
     u, f = F.col("unit"), F.col("form")
     longest = F.greatest(F.length(u), F.length(f))
@@ -169,7 +171,7 @@ def match_values(typed: DataFrame, reference: DataFrame, threshold: float = JACC
     )
     scored = units.join(near.withColumn("cost", cost).filter(F.col("cost").isNotNull()), "unit")
     by_code = scored.groupBy("typed", "code").agg(
-        F.min(F.struct(F.col("cost"), (-F.length("unit")).alias("length"), (-F.col("jaccard")).alias("jaccard"))).alias("best")
+        F.min(F.struct((-F.col("jaccard")).alias("jaccard"), F.col("cost"), (-F.length("unit")).alias("length"))).alias("best")
     )
     ranked = by_code.groupBy("typed").agg(
         F.slice(F.array_sort(F.collect_list(F.struct("best", "code"))), 1, 2).alias("top")
