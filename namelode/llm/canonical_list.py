@@ -116,7 +116,8 @@ def similar_sets(left: DataFrame, right: DataFrame, threshold: float) -> DataFra
             F.col("key").alias(side), F.col("tokens").alias(f"{side}_set"), F.posexplode(first).alias(f"{side}_at", "t")
         ).withColumn("token", F.col("t.token")).drop("t")
 
-    x, y = prefixes(l_sets, "l"), prefixes(r_sets, "r")
+    # the distinct values are few bytes but meet many forms: spread, or they would be one task
+    x, y = prefixes(l_sets, "l").repartition(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), "l"), prefixes(r_sets, "r")
     nl, nr = F.size("l_set"), F.size("r_set")
     slight = 1e-9  # so that a bound met exactly isn't missed by rounding
     needed = F.ceil(threshold / (1 + threshold) * (nl + nr) - slight)
@@ -137,7 +138,6 @@ def match_values(typed: DataFrame, reference: DataFrame, threshold: float = JACC
     """
     units = durable(typed_units(typed))
     forms = durable(entry_forms(reference))
-    # so few bytes would be joined into one task
     tasks = int(typed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     candidates = similar_sets(
         units.select(F.col("unit").alias("l")).distinct(), forms.select(F.col("form").alias("r")).distinct(), threshold
