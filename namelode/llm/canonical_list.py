@@ -116,8 +116,9 @@ def similar_sets(left: DataFrame, right: DataFrame, threshold: float) -> DataFra
             F.col("key").alias(side), F.col("tokens").alias(f"{side}_set"), F.posexplode(first).alias(f"{side}_at", "t")
         ).withColumn("token", F.col("t.token")).drop("t")
 
-    # the distinct values are few bytes but meet many forms: spread, or they would be one task
-    x, y = prefixes(l_sets, "l").repartition(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), "l"), prefixes(r_sets, "r")
+    # few bytes, but very many pairs: both sides are spread by a fixed number, or one task would make them all
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    x, y = prefixes(l_sets, "l").repartition(tasks, "token"), prefixes(r_sets, "r").repartition(tasks, "token").hint("shuffle_hash")
     nl, nr = F.size("l_set"), F.size("r_set")
     slight = 1e-9  # so that a bound met exactly isn't missed by rounding
     needed = F.ceil(threshold / (1 + threshold) * (nl + nr) - slight)
