@@ -2,14 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from namelode.operators.records import page_bounds
 
 
+def duration_text(micros: Column) -> Column:
+    """A length of time above 0 as hours, minutes and seconds: 26h0m3.5s, 2m0s, 350ms."""
+    us = micros.cast("bigint")
+    part = lambda n: F.call_function("div", us, F.lit(n).cast("bigint"))
+    hours, minutes, rest = part(3_600_000_000), part(60_000_000) % 60, us % 60_000_000
+
+    def decimal(value: Column, unit: int, digits: int) -> Column:
+        tail = F.rtrim(F.lpad((value % unit).cast("string"), digits, "0"), F.lit("0"))
+        return F.concat(F.call_function("div", value, F.lit(unit).cast("bigint")).cast("string"), F.when(tail == "", "").otherwise(F.concat(F.lit("."), tail)))
+
+    long = F.concat(
+        F.when(hours > 0, F.concat(hours.cast("string"), F.lit("h"))).otherwise(""),
+        F.when((hours > 0) | (minutes > 0), F.concat(minutes.cast("string"), F.lit("m"))).otherwise(""),
+        decimal(rest, 1_000_000, 6),
+        F.lit("s"),
+    )
+    short = F.when(us >= 1000, F.concat(decimal(us, 1000, 3), F.lit("ms"))).otherwise(F.concat(us.cast("string"), F.lit("µs")))
+    return F.when(us >= 1_000_000, long).otherwise(short)
+
+
 def run_page(runs: DataFrame, page: int = 1, per_page: int = 25) -> DataFrame:
-    """A page of runs, latest first, with the hours since the run before it on the page.
+    """A page of runs, latest first, with the time since the run before it on the page as hours and as text, and the number of all runs.
 
     The last run of a page, and one not later than the next, has no interval.
     """
@@ -17,9 +37,10 @@ def run_page(runs: DataFrame, page: int = 1, per_page: int = 25) -> DataFrame:
     chosen = runs.orderBy(F.desc("started_at"), F.desc("id")).offset(offset).limit(limit)
     # the page is at most 100 rows
     latest = Window.orderBy(F.desc("started_at"), F.desc("id"))
-    at = lambda c: F.unix_micros(c.cast("timestamp")) / 1e6
-    seconds = at(F.col("started_at")) - at(F.lead("started_at").over(latest))
-    return chosen.withColumn("interval_hours", F.when(seconds > 0, F.round(seconds / 3600, 2)))
+    at = lambda c: F.unix_micros(c.cast("timestamp"))
+    micros = at(F.col("started_at")) - at(F.lead("started_at").over(latest))
+    timed = chosen.withColumn("interval_hours", F.when(micros > 0, F.round(micros / 3_600_000_000, 2))).withColumn("interval", F.when(micros > 0, duration_text(micros)))
+    return timed.join(F.broadcast(runs.agg(F.count("*").alias("total"))))
 
 
 def run_changes(changes: DataFrame) -> DataFrame:

@@ -346,13 +346,15 @@ def upserted_reference(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     """with r as (select cast(ts as date) as day, min(ts) as started_at from events group by 1),
-p as (select * from r order by started_at desc limit 10 offset 10)
-select day, case when epoch_us(started_at) - epoch_us(lead(started_at) over (order by started_at desc)) > 0
-  then round((epoch_us(started_at) / 1e6 - epoch_us(lead(started_at) over (order by started_at desc)) / 1e6) / 3600, 2) end as interval_hours from p"""
+p as (select * from r order by started_at desc limit 10 offset 10),
+i as (select day, epoch_us(started_at) - epoch_us(lead(started_at) over (order by started_at desc)) us from p)
+select day, case when us > 0 then round(us / 3600000000, 2) end as interval_hours, (select count(*) from r) as total,
+  case when us > 0 then (case when us >= 3600000000 then (us // 3600000000) || 'h' else '' end) || (case when us >= 60000000 then (us // 60000000 % 60) || 'm' else '' end)
+    || (us % 60000000 // 1000000) || (case when us % 1000000 = 0 then '' else '.' || rtrim(lpad(cast(us % 1000000 as varchar), 6, '0'), '0') end) || 's' end as interval from i"""
 )
 def run_history_page(spark: SparkSession, d: str) -> DataFrame:
     runs = table(spark, d, "events").groupBy(F.to_date("ts").alias("id")).agg(F.min("ts").alias("started_at"))
-    return history.run_page(runs, 2, 10).select(F.col("id").alias("day"), "interval_hours")
+    return history.run_page(runs, 2, 10).select(F.col("id").alias("day"), "interval_hours", "interval", "total")
 
 
 @query(
