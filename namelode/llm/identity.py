@@ -160,7 +160,7 @@ def profiles(records: DataFrame, names: DataFrame, dates: DataFrame, codes: Data
 _STEM = re.compile(f"(?<=.{{3}})({'|'.join(FAMILIAR)})$")
 
 
-@lru_cache(1 << 17)
+@lru_cache(1 << 16)
 def word_likeness(a: str, b: str) -> float:
     """How alike two words are: 1 equal, 0.8 a few letters off, 0.7 a familiar form or abbreviation, 0.6 an initial,
     0.5 if half of a short word is off, else 0."""

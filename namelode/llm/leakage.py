@@ -195,47 +195,51 @@ def leaked_spans(
     task indexes the documents it reads in shards of ``shard_words`` words, leaving out words that no item
     has, and looks up all passages of the items in each. Spans are characters of the text, from 0, end
     exclusive; passages that touch are one span. Null, empty and short texts hold none; a long text is
-    indexed whole; repeated documents and items each give their own rows. The items are a stated query set,
-    sent in blocks of ``item_block``.
+    indexed whole; repeated documents and items each give their own rows. The items are a stated query set; they are sent
+    in blocks of ``item_block``, all of which are looked up while the corpus is read once. Items too short to be found
+    are named by ``unsearchable_items``.
     """
     spark = docs.sparkSession
     source = docs.select("doc_id", "text").filter(F.col("text").isNotNull())
     kind = source.schema["doc_id"].dataType.simpleString()
 
-    def search(block: list[tuple[int, str | None]]) -> DataFrame:
-        shared = spark.sparkContext.broadcast(Passages(block, least))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            shard = _Shard(shared.value)
-
-            def rows() -> pa.RecordBatch:
-                found = list(shard.found())
-                columns = list(zip(*found)) if found else [[], [], [], []]
-                types = (batch_type, pa.int64(), pa.int32(), pa.int32())
-                return pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(columns, types)], ["doc_id", "item_id", "span_start", "span_end"]
-                )
-
-            batch_type = pa.int64()
-            for batch in batches:
-                batch_type = batch.schema.field(0).type
-                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    shard.add(doc, text)
-                    if shard.size >= shard_words:
-                        yield rows()
-            yield rows()
-
-        return source.mapInArrow(run, f"doc_id {kind}, item_id bigint, span_start int, span_end int")
-
-    out, block = None, []
+    blocks, block = [], []
     for row in items.select("item_id", "text").toLocalIterator():
         block.append((row[0], row[1]))
         if len(block) == item_block:
-            out = search(block) if out is None else out.unionByName(search(block))
+            blocks.append(spark.sparkContext.broadcast(Passages(block, least)))
             block = []
-    if block or out is None:
-        out = search(block) if out is None else out.unionByName(search(block))
-    return out
+    if block or not blocks:
+        blocks.append(spark.sparkContext.broadcast(Passages(block, least)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shards = [_Shard(shared.value) for shared in blocks]
+
+        def rows(shard: _Shard) -> pa.RecordBatch:
+            found = list(shard.found())
+            columns = list(zip(*found)) if found else [[], [], [], []]
+            types = (batch_type, pa.int64(), pa.int32(), pa.int32())
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, types)], ["doc_id", "item_id", "span_start", "span_end"]
+            )
+
+        batch_type = pa.int64()
+        for batch in batches:
+            batch_type = batch.schema.field(0).type
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for shard in shards:
+                    shard.add(doc, text)
+                    if shard.size * len(shards) >= shard_words:
+                        yield rows(shard)
+        yield from map(rows, shards)
+
+    return source.mapInArrow(run, f"doc_id {kind}, item_id bigint, span_start int, span_end int")
+
+
+def unsearchable_items(items: DataFrame, least: int = 12) -> DataFrame:
+    """(item_id, words): the items of fewer than ``least`` words, null and empty ones among them, which no document can be found to hold."""
+    words = F.coalesce(F.size(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), 0)), F.lit(0))
+    return items.select("item_id", F.when(F.col("text").isNull(), 0).otherwise(words).alias("words")).filter(F.col("words") < least)
 
 
 def leaked_items(docs: DataFrame, items: DataFrame, least: int = 12) -> DataFrame:

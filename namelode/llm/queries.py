@@ -94,6 +94,10 @@ def p9_removal_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.removal_spans(*_tables(spark, sf_dir, "documents", "eval_items"))
 
 
+def p9_unsearchable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.unsearchable_items(table(spark, sf_dir, "eval_items"))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncated.truncated_texts(table(spark, sf_dir, "documents")).filter("cut").select("doc_id")
 
@@ -121,6 +125,7 @@ def queries() -> dict[str, Query]:
             p8_decoded,
             p9_found,
             p9_removal_spans,
+            p9_unsearchable,
             p10_found,
             p10_by_source,
         )
@@ -163,5 +168,8 @@ d as (select doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N
 h as (select doc_id, array_to_string(w[p:p + 11], ' ') g
   from (select doc_id, w, unnest(range(1, len(w) - 10)) p from d))
 select distinct doc_id, item_id from h join g using (g)""",
+        "p9_unsearchable": r"""
+select item_id, cast(coalesce(len(regexp_extract_all(text, '[\p{L}\p{N}]+')), 0) as int) as words from eval_items
+where coalesce(len(regexp_extract_all(text, '[\p{L}\p{N}]+')), 0) < 12""",
         "p8_decoded": "select doc_id, coalesce(text, '') as text from documents",
     }

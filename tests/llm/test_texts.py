@@ -67,6 +67,7 @@ def test_leaks(spark):
     spans = {(r["doc_id"], r["span_start"], r["span_end"]) for r in leakage.removal_spans(frame, items).collect()}
     assert (1, 3, 3 + len(", ".join(words[3:15]))) in spans and (5, 0, len(item)) in spans and len([s for s in spans if s[0] == 6]) == 2
     assert leakage.leaked_items(frame.limit(0), items).count() == 0 and leakage.leaked_items(frame, items.limit(0)).count() == 0
+    assert {tuple(r) for r in leakage.unsearchable_items(items).collect()} == {(11, 0), (12, 2)}
     blocks = leakage.leaked_spans(frame, items, item_block=1, shard_words=5).select("doc_id", "item_id").distinct()
     assert {tuple(r) for r in blocks.collect()} == got
 
